@@ -53,8 +53,9 @@ def _weights(n_in: int, n_out: int, kernel, support: float) -> np.ndarray:
 
 
 def _resample(img: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    out = np.einsum("ij,jkc->ikc", rows, img.astype(np.float64))
-    out = np.einsum("ij,kjc->kic", cols, out)
+    h, w, c = img.shape
+    out = (rows @ img.reshape(h, w * c).astype(np.float64)).reshape(len(rows), w, c)
+    out = np.matmul(cols, out)
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tagloom.functions import tags as T
 from tagloom.operators.maintenance import untranslated_tags, upsert_translations
@@ -56,7 +57,7 @@ def enrich_rows(
     seconds between calls of one partition.  An error stays with its row.
     """
     spread = rows.repartition(concurrency) if concurrency else rows
-    schema = spread.withColumns({"reply": F.lit("").cast("string"), "error": F.lit("").cast("string")}).schema
+    schema = StructType([*spread.schema.fields, StructField("reply", StringType()), StructField("error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = True

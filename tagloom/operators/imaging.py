@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType
+from pyspark.sql.types import (
+    ArrayType, BinaryType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+)
 
 from tagloom.functions import pixels as K
 from tagloom.functions.geometry import tiles
@@ -71,7 +73,9 @@ def transform_images(images: DataFrame, kernel: Callable[[np.ndarray, pd.Series]
 
     A failing image keeps its row, with empty data and the message in ``error``.
     """
-    schema = images.withColumn("error", F.lit("").cast("string")).schema
+    kinds = {"height": IntegerType(), "width": IntegerType(), "channels": IntegerType(), "data": BinaryType(), "error": StringType()}
+    columns = [*images.columns, *({"error"} - set(images.columns))]
+    schema = StructType([StructField(c, kinds.get(c) or images.schema[c].dataType) for c in columns])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tagloom.functions import tags as T
 from tagloom.operators.documents import parse_tag_docs
@@ -135,7 +136,7 @@ def _walk(content: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("width long, height long")
+@F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))
 def _walked(content: pd.Series) -> pd.DataFrame:
     sizes = [(_walk(c) if c is not None else None) or (None, None) for c in content]
     return pd.DataFrame(sizes, columns=["width", "height"])
