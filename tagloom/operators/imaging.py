@@ -68,6 +68,15 @@ def fingerprint(images: DataFrame) -> DataFrame:
     return images.withColumn("_f", run(*[F.col(p) for p in PARTS])).select(*rest, "_f.dhash", "_f.phash", "_f.hist")
 
 
+def spread(images: DataFrame, key: str) -> DataFrame:
+    """Even out images over as many tasks as a shuffle has.
+
+    Worth its shuffle where a kernel takes far longer than moving the pixels and
+    the input has few splits.
+    """
+    return images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def transform_images(images: DataFrame, kernel: Callable[[np.ndarray, pd.Series], np.ndarray]) -> DataFrame:
     """Apply ``kernel(pixels, row)`` to every image; other columns pass through.
 

@@ -348,7 +348,7 @@ def rgb_histogram(v: Views):
 
 @query("hsv_histogram")
 def hsv_histogram(v: Views):
-    rows = v.pictures().select("asset_id", F.posexplode(im.hsv_histogram()).alias("bin", "share"))
+    rows = im.spread(v.pictures(), "asset_id").select("asset_id", F.posexplode(im.hsv_histogram()).alias("bin", "share"))
     return rows.where("share > 0").withColumn("share", F.round("share", 6))
 
 
