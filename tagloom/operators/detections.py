@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 REGION_PADDING = {"full": 0.08, "halfbody": 0.06, "head": 0.02, "eyes": 0.02}
 REGION_SCALE = {"full": 1.0, "halfbody": 1.0, "head": 1.5, "eyes": 2.4}
 MIN_SIDE = 5
+BOXES = "array<struct<row:int,x1:double,y1:double,x2:double,y2:double,conf:double>>"
 MAX_OVERLAP = 0.5
 
 
@@ -47,8 +48,7 @@ def decode_detections(df: DataFrame, conf: float, raw: str = "raw", columns: int
     some = F.transform(F.sequence(F.lit(0), count - 1), box)
     kept = F.filter(some, lambda b: b["ok"] & (b["x2"] - b["x1"] > MIN_SIDE) & (b["y2"] - b["y1"] > MIN_SIDE))
     plain = F.transform(kept, lambda b: F.struct(*[b[n].alias(n) for n in ("row", "x1", "y1", "x2", "y2", "conf")]))
-    none = F.array().cast("array<struct<row:int,x1:double,y1:double,x2:double,y2:double,conf:double>>")
-    return df.withColumn("boxes", F.when(count > 0, plain).otherwise(none))
+    return df.withColumn("boxes", F.when(count > 0, plain).otherwise(F.array().cast(BOXES)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -69,7 +69,7 @@ def nms(boxes: Column) -> Column:
     ordered = F.transform(ranked, lambda s: s["b"])
     return F.aggregate(
         ordered,
-        F.slice(ordered, 1, 0),
+        F.array().cast(BOXES),
         lambda kept, b: F.when(
             F.exists(kept, lambda k: overlap(b, k) > MAX_OVERLAP), kept
         ).otherwise(F.concat(kept, F.array(b))),
@@ -97,7 +97,8 @@ def region(box: Column, width: Column, height: Column, kind: str, scale: float |
 def region_plan(df: DataFrame, kind: str, boxes: str = "boxes", scale: float | None = None) -> DataFrame:
     """One row per kept box: crop window and output stem; numbered when several."""
     many = F.size(boxes) > 1
-    rows = df.withColumn("_many", many).select("*", F.posexplode(boxes).alias("box_index", "box"))
+    rows = df.withColumn("_many", many).select("*", F.posexplode_outer(boxes).alias("box_index", "box"))
+    rows = rows.where("box is not null")
     suffix = F.when(F.col("_many"), F.concat(F.lit("_"), F.col("box_index").cast("string"))).otherwise("")
     window = region(F.col("box"), F.col("width"), F.col("height"), kind, scale)
     return (

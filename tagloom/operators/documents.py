@@ -30,6 +30,9 @@ TEXT_PATHS = (
     "ai_output.count", "ai_output.nl",
 )
 LIST_PATHS = ("from_path.appearance", "ai_output.appearance", "ai_output.tags", "ai_output.environment")
+PARTS = ("fixed", "character", "from_path", "ai_output")
+FLAT_TEXTS = ("quality", "series", "artist", "character", "count", "nl")
+FLAT_LISTS = ("appearance", "tags", "environment")
 NO_TAGS = "array<string>"
 
 
@@ -37,32 +40,37 @@ def _empty() -> Column:
     return F.array().cast(NO_TAGS)
 
 
-def _kind(v: Column, path: str) -> Column:
-    """Type name of the member at ``path``; null when it is not there."""
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
+def _member(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, f"$.{path}", "variant")
+
+
+def _kinds(v: Column, paths: Sequence[str]) -> Column:
+    """Type names of members, null where one is absent; computed once per row."""
+    return F.struct(*[F.schema_of_variant(_member(v, p)).alias(p.replace(".", "_")) for p in paths])
+
+
+def _kind(path: str) -> Column:
+    return F.col("_k")[path.replace(".", "_")]
 
 
 def _text(v: Column, path: str) -> Column:
-    return F.when(_kind(v, path) == "STRING", F.try_variant_get(v, f"$.{path}", "string"))
+    return F.when(_kind(path) == "STRING", F.try_variant_get(v, f"$.{path}", "string"))
 
 
 def _list(v: Column, path: str) -> Column:
     """A list member: an array's strings, or a comma text split up; else empty."""
-    items = F.try_variant_get(v, f"$.{path}", "array<variant>")
-    strings = F.filter(items, lambda x: F.schema_of_variant(x) == "STRING")
-    strings = F.transform(strings, lambda x: F.variant_get(x, "$", "string"))
-    return F.coalesce(strings, T.split_tags(_text(v, path)), _empty())
-
-
-def _list_ok(v: Column, path: str) -> Column:
-    kind = _kind(v, path)
-    items = F.try_variant_get(v, f"$.{path}", "array<variant>")
-    pure = F.forall(items, lambda x: F.schema_of_variant(x) == "STRING")
-    return F.coalesce(F.when(kind == "STRING", True).otherwise(pure), kind.isNull())
+    kind = _kind(path)
+    mixed = F.filter(F.try_variant_get(v, f"$.{path}", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    return (
+        F.when(kind == "ARRAY<STRING>", F.try_variant_get(v, f"$.{path}", "array<string>"))
+        .when(kind == "STRING", T.split_tags(F.try_variant_get(v, f"$.{path}", "string")))
+        .when(kind.startswith("ARRAY"), F.transform(mixed, lambda x: F.variant_get(x, "$", "string")))
+        .otherwise(_empty())
+    )
 
 
-def _text_ok(v: Column, path: str) -> Column:
-    return F.coalesce(_kind(v, path).isin("STRING", "VOID"), F.lit(True))
+def _fits(path: str, *kinds: str) -> Column:
+    return F.coalesce(_kind(path).isin(*kinds), F.lit(True))
 
 
 def _doc(fixed: Sequence[Column], character: Sequence[Column], from_path: Column, ai: Sequence[Column]) -> Column:
@@ -92,11 +100,11 @@ def parse_full(v: Column) -> Column:
     """A full document from a variant; null if a member has the wrong type."""
     ok = F.lit(True)
     for path in TEXT_PATHS:
-        ok = ok & _text_ok(v, path)
+        ok = ok & _fits(path, "STRING", "VOID")
     for path in LIST_PATHS:
-        ok = ok & _list_ok(v, path)
-    for part in ("fixed", "character", "from_path", "ai_output"):
-        ok = ok & F.coalesce(_kind(v, part).startswith("OBJECT"), F.lit(True))
+        ok = ok & _fits(path, "STRING", "ARRAY<STRING>", "ARRAY<VOID>")
+    for part in PARTS:
+        ok = ok & F.coalesce(_kind(part).startswith("OBJECT"), F.lit(True))
     doc = _doc(
         [_text(v, f"fixed.{k}") for k in ("quality", "series", "artist")],
         [F.coalesce(_text(v, f"character.{k}"), F.lit("")) for k in ("name", "variant")],
@@ -121,15 +129,18 @@ def parse_flat(v: Column) -> Column:
 def parse_tag_docs(rows: DataFrame, content: str = "content") -> DataFrame:
     """Add ``format``, ``doc`` and ``has_json`` to rows of JSON text (null = no file)."""
     v = F.col("_v")
-    parsed = F.when(F.col("format") == "full", parse_full(v)).when(F.col("format") == "simplified", parse_flat(v))
+    full = F.col("format") == "full"
+    parsed = F.when(full, parse_full(v)).when(F.col("format") == "simplified", parse_flat(v))
+    members = dict.fromkeys((*TEXT_PATHS, *LIST_PATHS, *PARTS, *FLAT_TEXTS, *FLAT_LISTS))
     return (
         rows.withColumn("has_json", F.col(content).isNotNull())
         .withColumn("format", F.coalesce(detect_format(F.col(content)), F.lit("unknown")))
         .withColumn("_v", F.try_parse_json(F.col(content)))
+        .withColumn("_k", _kinds(v, tuple(members)))
         .withColumn("doc", parsed)
         .withColumn("format", F.when(F.col("doc").isNull(), "unknown").otherwise(F.col("format")))
         .withColumn("doc", F.coalesce("doc", empty_doc()))
-        .drop("_v")
+        .drop("_v", "_k")
     )
 
 
@@ -158,9 +169,11 @@ def doc_to_flat(doc: Column) -> Column:
     )
 
 
-def flat_to_doc(content: Column) -> Column:
-    """Full layout from flat JSON text; fields may be arrays or comma texts."""
-    return parse_flat(F.try_parse_json(content))
+def flat_to_doc(rows: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``doc``, the full layout of flat JSON text; lists may be arrays or comma texts."""
+    v = F.col("_v")
+    parsed = rows.withColumn("_v", F.try_parse_json(F.col(content))).withColumn("_k", _kinds(v, FLAT_TEXTS + FLAT_LISTS))
+    return parsed.withColumn("doc", parse_flat(v)).drop("_v", "_k")
 
 
 def _or_null(items: Column) -> Column:

@@ -168,7 +168,7 @@ def zip_translations(batches: DataFrame, bulk: bool = False) -> DataFrame:
     A missing line, or one equal to its source, gives an empty translation; the
     ``bulk`` variant keeps equal ones and drops the empty.
     """
-    rows = batches.select(F.posexplode("tags").alias("i", "tag"), "lines")
+    rows = batches.select(F.posexplode_outer("tags").alias("i", "tag"), "lines").where("tag is not null")
     line = T.strip(F.coalesce(F.get("lines", F.col("i")), F.lit("")))
     rows = rows.select("tag", line.alias("translated"))
     if bulk:

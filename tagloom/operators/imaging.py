@@ -176,7 +176,7 @@ def tile_apply(
     then the image, are joined by ordered concatenation in the JVM.
     """
     plan = tiles(F.col("width"), F.col("height"), tile, pad, scale)
-    planned = images.select(key, "height", "width", "channels", "data", F.explode(plan).alias("t"))
+    planned = images.select(key, "height", "width", "channels", "data", F.explode_outer(plan).alias("t"))
     planned = planned.select(key, "height", "width", "channels", "data", "t.*")
     cut = transform_images(
         planned, lambda img, r: K.crop(img, r.in_x0, r.in_y0, r.in_x1 - r.in_x0, r.in_y1 - r.in_y0)

@@ -173,7 +173,7 @@ def search_tags_many(dictionary: DataFrame, queries: DataFrame, limit: int = 10,
     text = F.concat_ws("\n", F.lower("name"), F.lower("aliases"))
     pieces = F.array_distinct(F.concat(_grams(text, 1), _grams(text, 2), _grams(text, 3)))
     entries = dictionary.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int"))
-    entries = entries.withColumn("gram", F.explode(pieces))
+    entries = entries.withColumn("gram", F.explode_outer(pieces))
     hits = (
         entries.join(wanted, ["gram", "salt"])
         .withColumn("stage", _stage(F.col("name"), F.col("aliases"), F.col("key")))

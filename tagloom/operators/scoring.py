@@ -45,7 +45,7 @@ def long_scores(scores: DataFrame, vocabulary: DataFrame, enabled: Sequence[str]
     The vocabulary is as long as one score vector, so by its statistics the
     optimizer broadcasts it; nothing forces that.
     """
-    rows = scores.select("asset_id", F.posexplode("scores").alias("idx", "prob"))
+    rows = scores.select("asset_id", F.posexplode_outer("scores").alias("idx", "prob"))
     vocab = vocabulary.select("idx", "name", "category")
     if enabled is not None:
         vocab = vocab.where(F.col("category").isin(*enabled))

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def explode_tags(captions: DataFrame) -> DataFrame:
-    return captions.select(F.explode("tags").alias("tag"))
+    """One row per tag.
+
+    An inner explode would have the optimizer test ``size(tags) > 0`` below it and
+    so compute a derived list twice; the outer form with a null test does not.
+    """
+    return captions.select(F.explode_outer("tags").alias("tag")).where("tag is not null")
 
 
 def tag_stats(tags: DataFrame) -> DataFrame:
@@ -26,7 +31,7 @@ def common_tags(captions: DataFrame, distinct_per_asset: bool = False) -> DataFr
     another asset that lacks it; ``distinct_per_asset`` counts assets instead.
     """
     tags = F.array_distinct("tags") if distinct_per_asset else F.col("tags")
-    stats = tag_stats(captions.select(F.explode(tags).alias("tag")))
+    stats = tag_stats(explode_tags(captions.select(tags.alias("tags"))))
     tagged = captions.select(F.count_if(F.size("tags") > 0)).scalar()
     return stats.where(F.col("n") == tagged)
 

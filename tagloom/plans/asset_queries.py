@@ -130,7 +130,7 @@ def _flat_text(v: Views):
         lambda w: trim(w, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda w: w <> ''), '|') AS tags,
       array_to_string(e, '|') AS environment FROM fx_parts""")
 def flat_to_doc(v: Views):
-    d = _flat_text(v).select("asset_id", dc.flat_to_doc(F.col("content")).alias("d"))
+    d = dc.flat_to_doc(_flat_text(v)).select("asset_id", F.col("doc").alias("d"))
     ai = "d.ai_output."
     return d.select(
         "asset_id", "d.fixed.quality", "d.fixed.artist", shown(F.col(ai + "appearance"), "appearance"), ai + "count",
@@ -165,7 +165,7 @@ def edit_doc_field(v: Views):
           list_filter(list_transform(string_split(array_to_string(q, ', '), ','), lambda w: trim(w, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda w: w <> '')))) AS tag
       FROM fx_parts) GROUP BY tag""")
 def doc_tags(v: Views):
-    return v.docs().select(F.explode(dc.doc_tags(F.col("doc"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return v.docs().select(F.explode_outer(dc.doc_tags(F.col("doc"))).alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 # -- scores -----------------------------------------------------------------------
@@ -184,14 +184,14 @@ def score_assets(v: Views):
         return run
 
     out = sc.score_assets(v.gray(), make)
-    return out.select("asset_id", F.posexplode("scores").alias("idx", "score"))
+    return out.select("asset_id", F.posexplode_outer("scores").alias("idx", "score"))
 
 
 @query("sigmoid_scores", """
     SELECT asset_id, i AS idx, round(1 / (1 + exp(-greatest(-30.0, least(30.0, scores[i + 1])))), 6) AS prob
     FROM fx_scores, range(64) r(i)""")
 def sigmoid_scores(v: Views):
-    rows = v.probs().select("asset_id", F.posexplode("scores").alias("idx", "p"))
+    rows = v.probs().select("asset_id", F.posexplode_outer("scores").alias("idx", "p"))
     return rows.select("asset_id", F.col("idx").cast("long").alias("idx"), F.round("p", 6).alias("prob"))
 
 
@@ -384,7 +384,7 @@ def crop_plan(v: Views):
     w, h = F.col("width"), F.col("height")
     plans = {"center": G.crop_center(w, h, 800, 600), "aspect": G.crop_aspect(w, h, 1.5), "edges": G.crop_edges(w, h, 300, 20, 150, 300)}
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), p.alias("p")) for m, p in plans.items()])
-    return v.assets().select("asset_id", F.inline(modes)).select("asset_id", "mode", "p.*")
+    return v.assets().select("asset_id", F.inline_outer(modes)).select("asset_id", "mode", "p.*")
 
 
 _SIDE = "greatest(floor({v} * sqrt(({tw}.0 * {th}.0)::DOUBLE / (w::DOUBLE * h::DOUBLE)) / 64 + 0.5) * 64, 64)::BIGINT"
@@ -403,7 +403,7 @@ def scale_plan(v: Views):
     w, h = F.col("width"), F.col("height")
     plans = {m: G.scale_size(w, h, m, (768, 768), (1280, 1024)) for m in ("upscale", "downscale", "both")}
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), p.alias("p")) for m, p in plans.items()])
-    return v.assets().select("asset_id", F.inline(modes)).select("asset_id", "mode", "p.*")
+    return v.assets().select("asset_id", F.inline_outer(modes)).select("asset_id", "mode", "p.*")
 
 
 @query("letterbox_plan", """
@@ -436,7 +436,7 @@ def fit_max_side(v: Views):
       ox * 4 AS out_x0, least(ox * 4 + 2048, width * 4) AS out_x1, oy * 4 AS out_y0, least(oy * 4 + 2048, height * 4) AS out_y1 FROM t""")
 def tile_plan(v: Views):
     t = G.tiles(F.col("width"), F.col("height"), 512, 10, 4)
-    return v.assets().select("asset_id", F.explode(t).alias("t")).select("asset_id", "t.*")
+    return v.assets().select("asset_id", F.explode_outer(t).alias("t")).select("asset_id", "t.*")
 
 
 @query("convert_format_plan", """
@@ -451,7 +451,7 @@ def convert_format_plan(v: Views):
 @query("decode_detections", """
     SELECT asset_id, kind, row, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(conf, 6) AS conf FROM fx_kept""")
 def decode_detections(v: Views):
-    rows = dt.decode_detections(v.detections(), 0.6).select("asset_id", "kind", F.inline("boxes"))
+    rows = dt.decode_detections(v.detections(), 0.6).select("asset_id", "kind", F.inline_outer("boxes")).where("row is not null")
     return rows.select(
         "asset_id", "kind", F.col("row").cast("long").alias("row"), *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "conf")]
     )
@@ -480,7 +480,7 @@ def best_boxes(v: Views):
 
 @query("nms", f"WITH {_NMS} SELECT asset_id, kind, row, round(conf, 6) AS conf FROM best")
 def nms(v: Views):
-    rows = best_boxes(v).select("asset_id", "kind", F.inline("boxes"))
+    rows = best_boxes(v).select("asset_id", "kind", F.inline_outer("boxes")).where("row is not null")
     return rows.select("asset_id", "kind", F.col("row").cast("long").alias("row"), F.round("conf", 6).alias("conf"))
 
 

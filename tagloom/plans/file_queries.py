@@ -342,13 +342,13 @@ def phash(v: Views):
     WITH p AS (SELECT asset_id, (2 - c) * 16 + px[i * 4 + c + 1] // 16 AS bin FROM fx_rgba, range(16) r(i), range(3) s(c))
     SELECT asset_id, bin, count(*) / 16.0::DOUBLE AS share FROM p GROUP BY asset_id, bin""")
 def rgb_histogram(v: Views):
-    rows = v.rgba().select("asset_id", F.posexplode(im.rgb_histogram()).alias("bin", "share"))
+    rows = v.rgba().select("asset_id", F.posexplode_outer(im.rgb_histogram()).alias("bin", "share"))
     return rows.where("share > 0").select("asset_id", F.col("bin").cast("long").alias("bin"), "share")
 
 
 @query("hsv_histogram")
 def hsv_histogram(v: Views):
-    rows = im.spread(v.pictures(), "asset_id").select("asset_id", F.posexplode(im.hsv_histogram()).alias("bin", "share"))
+    rows = v.pictures().select("asset_id", F.posexplode_outer(im.hsv_histogram()).alias("bin", "share"))
     return rows.where("share > 0").withColumn("share", F.round("share", 6))
 
 
@@ -438,7 +438,7 @@ def tta_average(v: Views):
 @query("l2_normalize", """
     SELECT asset_id, i AS idx, round(vec[i + 1] / sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS x FROM fx_features, range(64) r(i)""")
 def l2_normalize(v: Views):
-    rows = v.features().select("asset_id", F.posexplode(cl.l2_normalize(F.col("vec"))).alias("idx", "x"))
+    rows = v.features().select("asset_id", F.posexplode_outer(cl.l2_normalize(F.col("vec"))).alias("idx", "x"))
     return rows.select("asset_id", F.col("idx").cast("long").alias("idx"), F.round("x", 6).alias("x"))
 
 
@@ -450,7 +450,7 @@ def l2_normalize(v: Views):
 def fuse_features(v: Views):
     rows = v.features().select("asset_id", F.slice("vec", 1, 40).alias("style"), F.slice("vec", 41, 24).alias("color"), F.col("vec").alias("semantic"))
     fused = cl.fuse_features({"style": 0.7, "semantic": 0.0, "color": 0.3})
-    out = rows.select("asset_id", F.posexplode(fused).alias("idx", "x"))
+    out = rows.select("asset_id", F.posexplode_outer(fused).alias("idx", "x"))
     return out.select("asset_id", F.col("idx").cast("long").alias("idx"), F.round("x", 6).alias("x"))
 
 
@@ -462,7 +462,7 @@ def cluster_kmeans(v: Views):
 @query("reduce_pca")
 def reduce_pca(v: Views):
     out = cl.reduce_pca(v.features().select("asset_id", "vec"), 8)
-    return out.select("asset_id", F.posexplode("vec").alias("idx", "x"))
+    return out.select("asset_id", F.posexplode_outer("vec").alias("idx", "x"))
 
 
 _CANVAS = "120 + floor(({v} - {lo}) / ({hi} - {lo}) * {size})::BIGINT"

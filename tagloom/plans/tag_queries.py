@@ -143,7 +143,7 @@ def untranslated_tags(v: Views):
     FROM (SELECT asset_id, generate_subscripts(tags, 1) - 1 AS i, unnest(tags) AS tag FROM fx_captions) c
     LEFT JOIN (SELECT * FROM fx_cache WHERE lang = 'ja') t ON c.tag = t.tag""")
 def split_cache_hits(v: Views):
-    asked = v.captions().select("asset_id", F.posexplode("tags").alias("position", "tag"))
+    asked = v.captions().select("asset_id", F.posexplode_outer("tags").alias("position", "tag")).where("tag is not null")
     out = mt.split_cache_hits(asked, v.cache(), "ja")
     return out.select("asset_id", F.col("position").cast("long").alias("position"), "tag", "translated", "hit")
 

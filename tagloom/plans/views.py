@@ -23,6 +23,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def balanced(self, name: str) -> DataFrame:
+        """A table of heavy rows, dealt out when it has fewer splits than cores."""
+        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     # orders -------------------------------------------------------------------
 
     def assets(self) -> DataFrame:
@@ -60,7 +65,7 @@ class Views:
 
     def captions(self) -> DataFrame:
         words = F.split(F.translate("text", " \n\t", ",,,"), ",")
-        return self.table("documents").select(
+        return self.balanced("documents").select(
             F.col("doc_id").alias("asset_id"),
             F.format_string("Img_%08d.png", "doc_id").alias("name"),
             F.col("text").alias("caption"),
@@ -69,7 +74,7 @@ class Views:
         )
 
     def words(self) -> DataFrame:
-        return self.captions().select("asset_id", F.explode("tags").alias("tag"))
+        return self.captions().select("asset_id", F.explode_outer("tags").alias("tag")).where("tag is not null")
 
     def dictionary(self) -> DataFrame:
         stats = self.words().groupBy("tag").agg(F.count("*").alias("post_count"))
@@ -84,7 +89,7 @@ class Views:
         rows = self.dictionary().select(F.col("name").alias("tag"), "post_count", lang.alias("lang"))
         n = F.length("tag") + F.col("post_count") + F.length("lang")
         rows = rows.withColumn("n", n).where("n % 3 <> 0")
-        seqs = F.explode(F.when(F.col("n") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+        seqs = F.explode_outer(F.when(F.col("n") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
         rows = rows.select("tag", "lang", seqs.alias("seq")).withColumn("seq", F.col("seq").cast("long"))
         return rows.withColumn("translated", F.concat("lang", F.lit(":"), F.col("tag"), F.lit(":"), F.col("seq").cast("string")))
 
@@ -123,7 +128,7 @@ class Views:
     # embeddings -----------------------------------------------------------------
 
     def scores(self) -> DataFrame:
-        return self.table("embeddings").select(
+        return self.balanced("embeddings").select(
             F.col("vec_id").alias("asset_id"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("scores")
         )
 
@@ -133,7 +138,7 @@ class Views:
         return sigmoid_scores(self.scores())
 
     def features(self) -> DataFrame:
-        return self.table("embeddings").select(
+        return self.balanced("embeddings").select(
             F.col("vec_id").alias("asset_id"), F.format_string("vec_%08d.png", "vec_id").alias("name"),
             F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label",
         )
@@ -198,7 +203,7 @@ class Views:
         width = 24
         body = F.encode("text", "UTF-8")
         height = F.ceil(F.octet_length("text") / (width * 3)).cast("int")
-        return self.table("documents").select(
+        return self.balanced("documents").select(
             F.col("doc_id").alias("asset_id"), F.format_string("/data/doc_%08d.png", "doc_id").alias("name"),
             F.rpad(body, height * (width * 3), F.lit(b" ")).alias("data"), height.alias("height"),
             F.lit(width).alias("width"), F.lit(3).alias("channels"),
@@ -208,7 +213,7 @@ class Views:
         """Embeddings as ten raw detector rows of six numbers on a 640 canvas."""
         from tagloom.functions.geometry import letterbox
 
-        a = self.table("embeddings").selectExpr(
+        a = self.balanced("embeddings").selectExpr(
             "vec_id AS asset_id",
             "array('full', 'head', 'eyes', 'halfbody')[cast(vec_id % 4 AS int)] AS kind",
             "400 + (vec_id * 37) % 900 AS width", "400 + (vec_id * 101) % 900 AS height",
