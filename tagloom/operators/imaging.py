@@ -186,13 +186,15 @@ def tile_apply(
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: dict[str, list] = {n: [] for n in (key, "channels", "tile_x", "out_x1", "y", "run")}
             for r in batch.itertuples(index=False):
                 done = fn(K.to_array(r.data, r.height, r.width, r.channels))
                 part = K.crop(done, r.crop_x0, r.crop_y0, r.crop_x1 - r.crop_x0, r.crop_y1 - r.crop_y0)
-                yield pd.DataFrame({
-                    key: getattr(r, key), "channels": part.shape[2], "tile_x": r.tile_x, "out_x1": r.out_x1,
-                    "y": r.out_y0 + np.arange(len(part)), "run": [line.tobytes() for line in part],
-                })
+                for y, line in enumerate(part):
+                    row = (getattr(r, key), part.shape[2], r.tile_x, r.out_x1, r.out_y0 + y, line.tobytes())
+                    for column, value in zip(out.values(), row):
+                        column.append(value)
+            yield pd.DataFrame(out)
 
     runs = spread.mapInPandas(work, f"{key} {kind}, channels int, tile_x long, out_x1 long, y long, run binary")
     rows = runs.groupBy(key, "y").agg(
