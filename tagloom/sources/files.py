@@ -51,9 +51,14 @@ def read_contents(spark: SparkSession, path: str, recursive: bool = False) -> Da
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``(stem, kind, content)`` of whole text files matching a glob; ready to join."""
-    text = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    rows = with_name(text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    """``(path, name, stem, kind, content)`` of whole text files matching a glob.
+
+    Read as bytes, so that names come unescaped; a file that is not UTF-8 has null
+    content.  Spark lists no file of zero bytes: to a join it is a missing one.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    rows = with_name(found.select("path", text.alias("content")))
     return rows.select("path", "name", "stem", F.col("ext").alias("kind"), "content")
 
 

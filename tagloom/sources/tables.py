@@ -159,19 +159,21 @@ def write_translations(translations: DataFrame, path: str, files: int | None = N
 
 
 def write_snapshot(df: DataFrame, root: str, name: str) -> str:
-    """Write a new version next to the old ones; a version in use is never replaced."""
+    """Write a new version next to the old ones, then enter it in the log.
+
+    A version in use is never replaced, and one that was not finished is not in
+    the log.
+    """
     path = f"{root.rstrip('/')}/version={name}"
     df.write.mode("errorifexists").parquet(path)
+    entry = df.sparkSession.range(1).select(F.lit(name).alias("version"))
+    entry.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/log")
     return path
 
 
 def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The complete version with the greatest name."""
-    done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS")
-    version = F.regexp_extract("path", "/version=([^/]+)/", 1)
-    newest = done.load(root).agg(F.max(version).alias("v")).first()["v"]
-    if newest is None:
-        raise FileNotFoundError(f"no complete version under {root}")
+    """The logged version with the greatest name."""
+    newest = spark.read.parquet(f"{root.rstrip('/')}/log").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/version={newest}")
 
 
