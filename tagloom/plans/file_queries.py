@@ -8,6 +8,7 @@ from tagloom.functions import fingerprints as P
 from tagloom.functions import tags as T
 from tagloom.operators import buckets as bk
 from tagloom.operators import clusters as cl
+from tagloom.operators import density as dn
 from tagloom.operators import documents as dc
 from tagloom.operators import enrichment as en
 from tagloom.operators import filters as flt
@@ -459,6 +460,17 @@ def cluster_kmeans(v: Views):
     return cl.cluster_kmeans(v.features().select("asset_id", "vec"), 10, starts=3).select("asset_id", "label")
 
 
+@query("cluster_density")
+def cluster_density(v: Views):
+    return dn.cluster_density(v.features(), levels=16)
+
+
+@query("cluster_fallback")
+def cluster_fallback(v: Views):
+    """Groups of more vectors than exist are never found, so k-means steps in."""
+    return dn.cluster_fallback(v.features(), min_cluster_size=100_000, levels=4)
+
+
 @query("reduce_pca")
 def reduce_pca(v: Views):
     out = cl.reduce_pca(v.features().select("asset_id", "vec"), 8)

@@ -143,7 +143,8 @@ def test_suppression(spark):
 def test_both_detector_layouts(spark):
     df = spark.createDataFrame([(640, 320)], "width int, height int").withColumn("fit", letterbox(F.col("width"), F.col("height"), 640))
     five = df.withColumn("raw", F.array(*[F.lit(x) for x in (320.0, 320.0, 100.0, 50.0, 0.9, 320.0, 160.0, 100.0, 50.0, 0.9, 1.0, 1.0, 1.0, 1.0, 0.1)]))
-    (box,) = X.decode_detections(five, 0.3, columns=5).first().boxes
+    box, low = X.decode_detections(five, 0.3, columns=5).first().boxes
+    assert (low.y1, low.y2) == (0.0, 25.0)
     assert (box.x1, box.y1, box.x2, box.y2, box.conf) == (270.0, 135.0, 370.0, 185.0, 0.9)
     six = df.withColumn("raw", F.array(*[F.lit(x) for x in (320.0, 320.0, 100.0, 50.0, 0.5, 0.5)]))
     assert X.decode_detections(six, 0.3).first().boxes == []
