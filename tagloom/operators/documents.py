@@ -265,7 +265,7 @@ class Taxonomy:
         """Read ``(keyword, grp)``; it becomes a literal of the plan, so its size is checked."""
         rows = table.select("keyword", "grp").distinct().take(limit + 1)
         if len(rows) > limit:
-            raise ValueError(f"more than {limit} keywords: join classify_tags' groups instead")
+            raise ValueError(f"a taxonomy of more than {limit} keywords does not fit a plan")
         by = {g: tuple(sorted(r["keyword"] for r in rows if r["grp"] == g)) for g in ("appearance", "environment", "count")}
         return cls(**by)
 

@@ -515,7 +515,6 @@ def region_tags(v: Views):
 # -- duplicates ---------------------------------------------------------------------
 
 _SIM = "list_sum(list_transform(list_zip(a.hist, b.hist), lambda z: sqrt(z[1] * z[2])))"
-_DISTINCT = "nodes AS (SELECT dhash, phash, hist, min(name) AS name, count(*) AS copies FROM fx_fingerprints GROUP BY dhash, phash, hist)"
 _PAIRS = f"""
     near AS (SELECT a.name AS a, b.name AS b, bit_count(xor(a.dhash, b.dhash)) AS d, bit_count(xor(a.phash, b.phash)) AS p, {_SIM} AS color
              FROM {{src}} a JOIN {{src}} b ON a.name < b.name AND bit_count(xor(a.dhash, b.dhash)) <= 10 AND bit_count(xor(a.phash, b.phash)) <= 10),
@@ -572,9 +571,8 @@ def is_duplicate(v: Views):
 
 
 @query("similar_pairs", f"""
-    WITH {_DISTINCT}, {_PAIRS.format(src='nodes')}
-    SELECT a AS name_a, b AS name_b, x.copies AS copies_a, y.copies AS copies_b, d::INTEGER AS dhash_dist, p::INTEGER AS phash_dist, round(color, 6) AS color
-    FROM pairs JOIN nodes x ON x.name = a JOIN nodes y ON y.name = b""")
+    WITH {_GROUPS}
+    SELECT leader AS name_a, name AS name_b, dhash_dist::INTEGER AS dhash_dist, phash_dist::INTEGER AS phash_dist, round(color, 6) AS color FROM followers""")
 def similar_pairs(v: Views):
     return dp.similar_pairs(v.fingerprints()).withColumn("color", F.round("color", 6))
 

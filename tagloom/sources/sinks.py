@@ -9,7 +9,7 @@ delete whose source is gone but whose work is done counts as done.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -22,6 +22,9 @@ from tagloom.operators.ranking import file_stem, rank_in_group
 from tagloom.session import materialize
 
 
+COPY_CHUNK = 8 << 20
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
@@ -33,18 +36,19 @@ def _exists(path: str) -> bool:
     return files.get_file_info(inner).type != pafs.FileType.NotFound
 
 
-def _put(path: str, content: bytes) -> None:
+def _put(path: str, pieces: Iterable[bytes]) -> None:
     files, inner = _open(path)
     files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     part = f"{inner}.{uuid.uuid4().hex}.part"
     with files.open_output_stream(part) as out:
-        out.write(content)
+        for piece in pieces:
+            out.write(piece)
     files.move(part, inner)
 
 
 def _act(action: str, src: str | None, dst: str | None, content: bytes | None) -> None:
     if action == "write":
-        _put(dst, content)
+        _put(dst, [content])
         return
     files, inner = _open(src)
     if action == "delete":
@@ -60,7 +64,7 @@ def _act(action: str, src: str | None, dst: str | None, content: bytes | None) -
         return
     if action == "copy":
         with files.open_input_stream(inner) as stream:
-            _put(dst, stream.read())
+            _put(dst, iter(lambda: stream.read(COPY_CHUNK), b""))
         return
     raise ValueError(f"unknown action {action!r}")
 

@@ -9,7 +9,7 @@ from tagloom.functions.fingerprints import choose_bands
 from tagloom.operators.duplicates import _Search, duplicate_members
 from tagloom.session import materialize
 
-MEMBERS = "leader string, name string, dhash bigint, phash bigint, hist array<double>"
+STORED = "leader string, name string, dhash bigint, phash bigint, hist array<double>, batch bigint, head boolean"
 
 
 class Ingest:
@@ -27,24 +27,26 @@ class Ingest:
     def members(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """All rows placed so far, or those of batches before a number."""
         try:
-            rows = spark.read.schema(f"{MEMBERS}, batch bigint").parquet(self.root)
+            rows = spark.read.schema(STORED).parquet(self.root)
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return spark.createDataFrame([], f"{MEMBERS}, batch bigint")
+            return spark.createDataFrame([], STORED)
         return rows if before is None else rows.where(F.col("batch") < before)
 
     def add(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = materialize(batch.select("name", "dhash", "phash", "hist"))
-        known = self.members(spark, number).where(F.col("name") == F.col("leader")).select("name", "dhash", "phash", "hist")
+        known = self.members(spark, number).where("head").select("name", "dhash", "phash", "hist")
         placed = materialize(match_leaders(known, new, **self.limits))
         rest = new.join(placed.select("name"), "name", "left_anti")
         grouped = duplicate_members(rest, **self.limits).select("leader", "name")
         single = rest.join(grouped.select("name"), "name", "left_anti").select(F.col("name").alias("leader"), "name")
         links = placed.unionByName(grouped).unionByName(single)
         rows = links.join(new, "name").select("leader", "name", "dhash", "phash", "hist")
-        rows.write.mode("overwrite").parquet(f"{self.root}/batch={number}")
+        # leaders lie apart, so that later batches read only them
+        kept = rows.withColumn("head", F.col("name") == F.col("leader")).write.partitionBy("head")
+        kept.mode("overwrite").parquet(f"{self.root}/batch={number}")
 
 
 def match_leaders(leaders: DataFrame, new: DataFrame, dhash_max: int, phash_max: int, color_min: float) -> DataFrame:

@@ -87,9 +87,9 @@ def test_every_near_pair_meets_exactly_once(spark, t):
     base = [rng.getrandbits(64) for _ in range(25)]
     hashes = list(dict.fromkeys(base + [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 20))) for h in base for _ in range(4)]))
     rows = [(f"{i:04d}", signed64(h), 0, ([1.0] + [0.0] * 15) * 3) for i, h in enumerate(hashes)]
-    got = D.similar_pairs(spark.createDataFrame(rows, SCHEMA), t, 0, 0.85)
-    found = [(r.name_a, r.name_b) for r in got.collect()]
-    want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1:] if bits(a[1], b[1]) <= t}
+    nodes, search = D._prepare(spark.createDataFrame(rows, SCHEMA), t, 0, 0.85, False)
+    found = [(r.a.id, r.b.id) for r in search.candidates(nodes, nodes).collect()]
+    want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and bits(a[1], b[1]) <= t}
     assert len(found) == len(set(found)) and set(found) == want
 
 
@@ -110,6 +110,8 @@ def test_summary_and_pruning(spark):
     assert groups["a"].size == 3 and groups["a"].method == "dHash:1 pHash:0 color:3.00"
     assert D.dedup_summary(fp, members).first().asDict() == {"images": 5, "groups": 2, "redundant": 3}
     assert {r.name for r in D.keep_first(members).collect()} == {"b", "c", "y"}
+    links = {(r.name_a, r.name_b, r.dhash_dist) for r in D.similar_pairs(fp).collect()}
+    assert links == {("a", "b", 1), ("a", "c", 2), ("x", "y", 0)}
     left = D.prune_groups(members, spark.createDataFrame([("y",), ("c",)], "name string")).collect()
     assert {r.name for r in left} == {"a", "b"}
 
