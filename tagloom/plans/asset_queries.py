@@ -171,7 +171,8 @@ def doc_tags(v: Views):
 # -- scores -----------------------------------------------------------------------
 
 
-@query("score_assets")
+@query("score_assets", """
+    SELECT asset_id, i AS idx, (px[i * 4 + 1] + px[i * 4 + 2] + px[i * 4 + 3] + px[i * 4 + 4]) / 4.0::DOUBLE AS score FROM fx_gray, range(16) r(i)""")
 def score_assets(v: Views):
     """Mean brightness of 16 blocks stands in for a model."""
 
@@ -184,7 +185,8 @@ def score_assets(v: Views):
         return run
 
     out = sc.score_assets(v.gray(), make)
-    return out.select("asset_id", F.posexplode_outer("scores").alias("idx", "score"))
+    rows = out.select("asset_id", F.posexplode_outer("scores").alias("idx", "score"))
+    return rows.select("asset_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("double").alias("score"))
 
 
 @query("sigmoid_scores", """

@@ -410,7 +410,12 @@ def perspective_warp(v: Views):
     return _hex(im.perspective_warp(v.pictures(), 0.15)).withColumn("data", F.md5("data"))
 
 
-@query("gaussian_blur")
+@query("gaussian_blur", f"""
+    WITH k AS (SELECT o, i, exp(-((i - o) * (i - o)) / 4.5) AS w FROM range(8) a(o), range(8) b(i)
+               WHERE i >= greatest(0, floor(o + 0.5 - 3)) AND i < least(8, ceil(o + 0.5 + 3))),
+    w AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM k),
+    r AS (SELECT asset_id, wy.o AS y, wx.o AS x, sum(wy.w * wx.w * px[wy.i * 8 + wx.i + 1]) AS v FROM fx_gray, w wy, w wx GROUP BY asset_id, wy.o, wx.o)
+    SELECT asset_id, {_SHAPE.format(h=8, w=8, c=1)}, string_agg(printf('%02X', least(255, greatest(0, floor(v + 0.5)))::INTEGER), '' ORDER BY y, x) AS data FROM r GROUP BY asset_id""")
 def gaussian_blur(v: Views):
     return _hex(im.gaussian_blur(v.gray(), 1.5))
 
