@@ -627,7 +627,7 @@ def translate_missing(v: Views):
 
 
 @query("stream_job_progress", """
-    SELECT epoch_ms(date_trunc('hour', ts)) // 1000 AS window_start, status, count(*) AS n FROM fx_progress GROUP BY ALL""")
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, status, count(*) AS n FROM fx_progress GROUP BY ALL""")
 def stream_job_progress(v: Views):
     """The events read as a stream, rolled up by hour; the table written last is read."""
     batch = v.table("events")
@@ -647,7 +647,7 @@ def stream_job_progress(v: Views):
     )
     running.awaitTermination()
     out = v.spark.read.parquet(f"{root}/table")
-    return out.select(F.unix_timestamp("window_start").alias("window_start"), "status", "n")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "status", "n")
 
 
 @query("job_progress", """

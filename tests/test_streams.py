@@ -65,5 +65,5 @@ def test_stream_query_matches_batch(spark):
 
     streamed = {(r.window_start, r.status): r.n for r in QUERIES["stream_job_progress"](spark, SF).collect()}
     events = Views(spark, SF).progress().withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = progress.throughput(events).select(F.unix_timestamp("window_start").alias("window_start"), "status", "n")
+    batch = progress.throughput(events).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "status", "n")
     assert streamed == {(r.window_start, r.status): r.n for r in batch.collect()}
