@@ -2,26 +2,11 @@
 
 import re
 
-import pytest
-
 from tagloom.functions.fingerprints import choose_bands
 from tagloom.operators import buckets, duplicates, ranking, statistics
-from tagloom.plans.catalog import QUERIES
 from tagloom.plans.views import Views
 from tests.conftest import SF, plan_of
 
-NO_FILES = {  # these run whole jobs while they are built
-    "decode_images", "apply_manifest", "stream_job_progress", "stream_ingest_assets", "cluster_kmeans", "cluster_density",
-    "cluster_fallback", "duplicate_groups", "keep_first", "prune_groups", "dedup_summary", "reduce_pca",
-}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_FILES))
-def test_no_query_pairs_everything_with_everything(spark, name):
-    plan = plan_of(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 def test_similar_pairs_is_an_equi_join(spark):
     v = Views(spark, SF)
     nodes, search = duplicates._prepare(v.fingerprints(), 10, 10, 0.85, False)
