@@ -35,3 +35,19 @@ def folded(text: Column) -> Column:
 
 def power_of_two(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, n))))
+
+
+#: Keys with more than one in HOT_SHARE of all rows; there can be no more than HOT_SHARE of them.
+HOT_SHARE = 4_096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has each key once and its number of rows in ``size``.
+
+    Keys of many rows reach their rows by a broadcast of at most HOT_SHARE groups, the others by a shuffle
+    in which no key has more than that share of the rows.
+    """
+    hot = F.col(size) * HOT_SHARE > groups.agg(F.sum(size)).scalar()
+    by_hot = rows.join(F.broadcast(groups.where(hot)), key, "left")
+    by_key = by_hot.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(~hot), key)
+    return by_hot.where(F.col(size).isNotNull()).unionByName(by_key)

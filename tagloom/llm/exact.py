@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import folded, power_of_two, stored
+from tagloom.llm.common import folded, join_groups, power_of_two, stored
 
 #: Bits of the filter per document, and hash functions.
 BITS_PER_ROW, HASHES = 16, 2
@@ -24,8 +24,6 @@ BITS_PER_ROW, HASHES = 16, 2
 BITMAP = 32_768
 #: Bitmaps are broadcast up to this size (bytes, known from the row count) and joined by key beyond it.
 BROADCAST_BYTES = 32 << 20
-#: Groups with more than one in HOT_SHARE of all rows; there can be no more than HOT_SHARE of them.
-HOT_SHARE = 4_096
 
 
 def _bits(digest: Column, m: int) -> list[Column]:
@@ -69,7 +67,6 @@ def possibly_repeated(rows: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
     narrow = digests(docs, id_col, text_col)
-    total = narrow.count()
     rows = stored(possibly_repeated(narrow), "tested")
     alone = rows.where("NOT maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
@@ -79,10 +76,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = stored(
         maybe.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size")), "groups"
     )
-    hot = F.col("group_size") > total / HOT_SHARE
-    by_hot = maybe.join(F.broadcast(groups.where(hot)), "sha", "left")
-    by_key = by_hot.where("top IS NULL").select("doc_id", "sha", "row").join(groups.where(~hot), "sha")
-    found = by_hot.where("top IS NOT NULL").unionByName(by_key)
+    found = join_groups(maybe, groups, "sha", "group_size")
     return alone.unionByName(found.select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, exact, packing, quality
+from tagloom.llm import bpe, exact, packing, quality, simhash
 from tagloom.llm.common import table
 
 #: A-Z and a-z, for the fold in SQL.
@@ -41,11 +41,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cuts)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES: dict[str, str] = {
