@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, exact, packing, quality, simhash, toxicity
+from tagloom.llm import bpe, exact, packing, pii, quality, simhash, toxicity
 from tagloom.llm.common import table
 
 #: A-Z and a-z, for the fold in SQL.
@@ -53,6 +53,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+#: Key of the surrogates in the registered query and the pipeline; a user passes their own.
+SURROGATE_KEY = "tagloom"
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, SURROGATE_KEY, count_col="n_entities").select("doc_id", "n_entities", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
+    "op9_pii_surrogates": op9_pii_surrogates,
 }
 
 ORACLES: dict[str, str] = {
