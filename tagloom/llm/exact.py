@@ -48,26 +48,29 @@ def repeated_bits(rows: DataFrame, m: int) -> DataFrame:
     )
 
 
-def possibly_repeated(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``maybe``: whether every filter bit of the row was set by another row too."""
+def filter_bits(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Stored bitmaps of the repeated bits over all ``rows``, and the number of bits of the filter."""
     m = power_of_two(BITS_PER_ROW * max(rows.count(), BITMAP // BITS_PER_ROW))
-    bitmaps = stored(repeated_bits(rows, m), "bitmaps")
-    maybe = F.lit(True)
+    return stored(repeated_bits(rows, m), "bitmaps"), m
+
+
+def with_maybe(rows: DataFrame, bitmaps: DataFrame, m: int) -> DataFrame:
+    """``rows`` (with a column sha) and ``maybe``: whether another row set each of its filter bits, too."""
+    names, maybe = rows.columns, F.lit(True)
     for k, bit in enumerate(_bits(F.col("sha"), m)):
         side = bitmaps.select(F.col("slot").alias(f"slot{k}"), F.col("bitmap").alias(f"bitmap{k}"))
         side = F.broadcast(side) if m // 8 <= BROADCAST_BYTES else side
         rows = rows.withColumn(f"bit{k}", bit).withColumn(f"slot{k}", F.shiftright(f"bit{k}", 15)).join(side, f"slot{k}", "left")
         place = F.col(f"bit{k}").bitwiseAND(BITMAP - 1)
-        byte = F.conv(F.hex(F.substring(F.col(f"bitmap{k}"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        value = F.call_function("getbit", byte.cast("long"), F.col(f"bit{k}").bitwiseAND(7).cast("int"))
-        maybe = maybe & F.coalesce(value == 1, F.lit(False))
-    return rows.select("doc_id", "sha", "row", maybe.alias("maybe"))
+        byte = F.conv(F.hex(F.substring(F.col(f"bitmap{k}"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        maybe = maybe & F.coalesce(F.getbit(byte, F.col(f"bit{k}").bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return rows.select(*names, maybe.alias("maybe"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
     narrow = digests(docs, id_col, text_col)
-    rows = stored(possibly_repeated(narrow), "tested")
+    rows = stored(with_maybe(narrow, *filter_bits(narrow)), "tested")
     alone = rows.where("NOT maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.col("sha").alias("text_sha256"),
@@ -76,8 +79,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = stored(
         maybe.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size")), "groups"
     )
-    found = join_groups(maybe, groups, "sha", "group_size")
-    return alone.unionByName(found.select(
+    return alone.unionByName(join_groups(maybe, groups, "sha", "group_size").select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     ))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, the one with the largest id.
+
+    Rows that the filter lets through stay in their tasks. Of the others, those whose (digest, id) is the
+    winner's pass a join on both, so a group of any size is spread by its ids.
+    """
+    columns = docs.columns
+    narrow = digests(docs, id_col, text_col)
+    bitmaps, m = filter_bits(narrow)
+    winners = stored(
+        with_maybe(narrow, bitmaps, m).where("maybe").groupBy("sha").agg(F.max("doc_id").alias("doc_id")), "winners"
+    ).select(F.col("sha").alias("top_sha"), F.col("doc_id").alias("top_id"))
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs[id_col].alias("doc_id"), F.sha2(folded(docs[text_col]), 256).alias("sha"))
+    rows = with_maybe(rows, bitmaps, m)
+    won = rows.where("maybe").join(winners, (F.col("sha") == F.col("top_sha")) & F.col("doc_id").eqNullSafe(F.col("top_id")))
+    once = won.select("sha", "doc").dropDuplicates(["sha"])
+    return rows.where("NOT maybe").select("doc").unionByName(once.select("doc")).select(*[F.col("doc")[c].alias(c) for c in columns])

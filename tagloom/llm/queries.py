@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tagloom.llm import bpe, exact, packing, pii, quality, simhash, toxicity
 from tagloom.llm.common import table
 
@@ -53,13 +54,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-#: Key of the surrogates in the registered query and the pipeline; a user passes their own.
-SURROGATE_KEY = "tagloom"
+
+
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace(docs, SURROGATE_KEY, count_col="n_entities").select("doc_id", "n_entities", "text")
+    return pii.replace(docs, corpus_pipeline.SURROGATE_KEY, count_col="n_entities").select("doc_id", "n_entities", "text")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
     "op9_pii_surrogates": op9_pii_surrogates,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {

@@ -168,3 +168,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return join_groups(rows, named, "fp", "copies").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id.
+
+    Rows that share an id are one document, of which one row stays; rows without an id all stay.
+    """
+    columns = docs.columns
+    found = stored(groups(docs, id_col, text_col, shingle).where("doc_id IS NOT NULL"), "members")
+    marked = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    # only ids to drop or to reduce to one row are looked up
+    marked = marked.where("least < doc_id OR rows > 1").select(F.col("doc_id").alias("marked_id"), (F.col("least") < F.col("doc_id")).alias("drop"))
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs[id_col].alias("doc_id"))
+    rows = rows.join(stored(marked, "marked"), F.col("doc_id") == F.col("marked_id"), "left")
+    once = rows.where("NOT drop").dropDuplicates(["doc_id"]).select("doc")
+    return rows.where("drop IS NULL").select("doc").unionByName(once).select(*[F.col("doc")[c].alias(c) for c in columns])
