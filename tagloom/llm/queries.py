@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagloom.llm import bpe, exact, packing, pii, quality, simhash, toxicity
+from tagloom.llm import bpe, exact, extraction, packing, pii, quality, simhash, toxicity
 from tagloom.llm.common import table
 
 #: A-Z and a-z, for the fold in SQL.
@@ -54,15 +54,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-
-
-
-
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace(docs, corpus_pipeline.SURROGATE_KEY, count_col="n_entities").select("doc_id", "n_entities", "text")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # the address travels in the key, so that no join is needed to bring it back
+    keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    found = extraction.extract(keyed, extraction.fit(pages), id_col="page")
+    return found.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
     "op9_pii_surrogates": op9_pii_surrogates,
+    "op10_html_extraction": op10_html_extraction,
     "pipeline": pipeline,
 }
 
