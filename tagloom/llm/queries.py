@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagloom.llm import bpe, exact, extraction, packing, pii, quality, simhash, toxicity
+from tagloom.llm import bpe, exact, extraction, language_model, packing, pii, quality, simhash, toxicity
 from tagloom.llm.common import table
 
 #: A-Z and a-z, for the fold in SQL.
@@ -54,6 +54,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents")).drop("class_scores")
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace(docs, corpus_pipeline.SURROGATE_KEY, count_col="n_entities").select("doc_id", "n_entities", "text")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
+    "op8_context_mixing": op8_context_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_html_extraction": op10_html_extraction,
     "pipeline": pipeline,
