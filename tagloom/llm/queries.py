@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagloom.llm import bpe, exact, extraction, language_model, packing, pii, quality, simhash, toxicity
+from tagloom.llm import bpe, exact, extraction, language_model, licences, packing, pii, quality, simhash, toxicity
 from tagloom.llm.common import table
 
 #: A-Z and a-z, for the fold in SQL.
@@ -54,6 +54,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the documents of a source lie in folders by language
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents")).drop("class_scores")
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
+    "op7_license_scan": op7_license_scan,
     "op8_context_mixing": op8_context_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_html_extraction": op10_html_extraction,
