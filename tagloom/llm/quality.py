@@ -27,7 +27,7 @@ from tagloom.llm.common import BLANKS, stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Largest share of good documents that one rule may reject, and the level of all tests together.
-MAX_REJECT, LEVEL = 0.0125, 0.05
+MAX_REJECT, LEVEL = 0.02, 0.05
 #: Rule and its cutoffs, from lenient to strict; a document is rejected at or above the cutoff.
 RULES: dict[str, list[float]] = {
     "symbol_share": [0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.02, 0.01],
