@@ -106,28 +106,6 @@ def rgb_histogram(img: np.ndarray) -> np.ndarray:
     return bins / float(len(rgb))
 
 
-def hsv_histogram(img: np.ndarray, bins: int = 64, side: int = 224) -> np.ndarray:
-    """Hue, saturation and value histograms of the image at a fixed size, unit length."""
-    rgb = to_rgb(resize(img, side, side)).astype(np.float64).reshape(-1, 3) / 255.0
-    r, g, b = rgb.T
-    top, low = rgb.max(axis=1), rgb.min(axis=1)
-    spread = top - low + 1e-10
-    hue = np.select(
-        [top == r, top == g],
-        [(60 * (g - b) / spread + 360) % 360, (60 * (b - r) / spread + 120) % 360],
-        (60 * (r - g) / spread + 240) % 360,
-    )
-    sat = np.where(top > 0, spread / (top + 1e-10), 0.0)
-    parts = [
-        np.histogram(hue, bins=bins, range=(0, 360))[0],
-        np.histogram(sat, bins=bins // 2, range=(0, 1))[0],
-        np.histogram(top, bins=bins // 2, range=(0, 1))[0],
-    ]
-    hist = np.concatenate(parts).astype(np.float64)
-    norm = np.linalg.norm(hist)
-    return hist / norm if norm > 0 else hist
-
-
 def flip(img: np.ndarray, mode: str) -> np.ndarray:
     if mode == "horizontal":
         return img[:, ::-1]

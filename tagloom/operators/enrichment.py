@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tagloom.functions import tags as T
 from tagloom.operators.maintenance import untranslated_tags, upsert_translations
 from tagloom.operators.ranking import chunk_rows
+from tagloom.session import materialize
 
 FENCE = "```"
 SHOWN_DIFFERENCES = 5
@@ -188,15 +189,17 @@ def translate_missing(
 ) -> tuple[DataFrame, DataFrame]:
     """``(new cache, failed batches)`` after translating what a language lacks.
 
-    Batches hold at most 200 names, one per line, in order of use.
+    Batches hold ``size`` names, one per line, in order of use; services take 200 at
+    most.  Answers are written once, so reading both results calls no service twice.
     """
-    size = max(1, min(size, 200))
+    if not 1 <= size <= 200:
+        raise ValueError("a batch holds 1 to 200 names")
     todo = untranslated_tags(dictionary, translations, lang)
     numbered = chunk_rows(todo, [-F.col("post_count"), F.col("name")], size)
     batches = numbered.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("rows"))
     batches = batches.select("chunk", F.transform("rows", lambda r: r["name"]).alias("tags"))
     batches = batches.withColumn("request", F.array_join("tags", "\n"))
-    answered = enrich_rows(batches, call, concurrency=concurrency)
+    answered = materialize(enrich_rows(batches, call, concurrency=concurrency))
     lines = answered.where("error is null").withColumn("lines", F.split("reply", "\n"))
     fresh = zip_translations(lines, bulk=True).withColumns({"lang": F.lit(lang), "seq": F.lit(seq).cast("long")})
     return upsert_translations(translations, fresh), answered.where("error is not null").select("chunk", "tags", "error")

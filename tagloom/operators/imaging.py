@@ -44,10 +44,6 @@ def rgb_histogram() -> Column:
     return _measure(lambda a: K.rgb_histogram(a).tolist(), ArrayType(DoubleType()))
 
 
-def hsv_histogram(bins: int = 64) -> Column:
-    return _measure(lambda a: K.hsv_histogram(a, bins).tolist(), ArrayType(DoubleType()))
-
-
 def has_transparency() -> Column:
     return _measure(K.is_transparent, BooleanType())
 

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SPLITS = 512
-SAMPLE_KEYS = 4096
-MAX_RESULTS = 50
+SAMPLES_PER_RANGE = 32
 
 
 def _literal(value) -> Column:
@@ -31,21 +29,21 @@ def _split_tree(key: Column, bounds: list, lo: int, hi: int) -> Column:
 def number_rows(df: DataFrame, keys: Sequence[Column], name: str = "position") -> DataFrame:
     """Number all rows from 0 in the order of ``keys`` without a global window.
 
-    ``keys`` must identify rows.  A hash-ordered sample of at most 4,096 keys
-    gives split points (one small job); rows are counted and numbered per range,
+    ``keys`` must identify rows.  A hash-ordered sample of 32 keys per shuffle
+    partition gives split points (one small job); rows are counted and numbered per range,
     and each range starts where the ones before it end.  Only the balance of
     the ranges depends on the sample, never the result.
     """
     spark = df.sparkSession
-    parts = min(MAX_SPLITS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
-    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE_KEYS)
+    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(SAMPLES_PER_RANGE * parts)
     found = sorted((tuple(r[0]), r[0]) for r in sample.collect())
     cuts = sorted({round(i * len(found) / parts) for i in range(1, parts)} - {0, len(found)})
     bounds = [found[i][1] for i in cuts]
     ranged = keyed.withColumn("_range", _split_tree(F.col("_key"), bounds, 0, len(bounds)))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # at most MAX_SPLITS rows reach this window
+    # one row per shuffle partition reaches this window
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
@@ -148,7 +146,7 @@ def search_tags(dictionary: DataFrame, query: str, limit: int = 10, like_wildcar
     columns = (F.col("name"), F.col("aliases"))
     stage = _stage_like(*columns, key) if like_wildcards else _stage(*columns, F.lit(key))
     hits = dictionary.withColumn("stage", stage).where("stage is not null")
-    return hits.orderBy("stage", F.col("post_count").desc(), "name").limit(min(limit, MAX_RESULTS))
+    return hits.orderBy("stage", F.col("post_count").desc(), "name").limit(limit)
 
 
 def _grams(text: Column, width: int) -> Column:
@@ -166,7 +164,6 @@ def search_tags_many(dictionary: DataFrame, queries: DataFrame, limit: int = 10,
     piece found in a great many of them is not one task's work, and the ranking
     keeps ``limit`` rows per query and task before anything is shuffled for it.
     """
-    cap = min(limit, MAX_RESULTS)
     wanted = queries.select("query").distinct().withColumn("key", query_key(F.col("query"))).where("key <> ''")
     wanted = wanted.withColumn("gram", F.substr(F.col("key"), F.lit(1), F.lit(3)))
     wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -181,10 +178,10 @@ def search_tags_many(dictionary: DataFrame, queries: DataFrame, limit: int = 10,
     )
     order = [F.col("stage"), F.col("post_count").desc(), F.col("name")]
     local = Window.partitionBy("query", "salt").orderBy(*order)
-    hits = hits.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= cap)
+    hits = hits.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= limit)
     total = Window.partitionBy("query").orderBy(*order)
     return (
         hits.withColumn("rank", F.row_number().over(total))
-        .where(F.col("rank") <= cap)
+        .where(F.col("rank") <= limit)
         .select("query", "rank", "stage", "name", "post_count")
     )

@@ -39,79 +39,94 @@ def sigmoid_scores(df: DataFrame, column: str = "scores") -> DataFrame:
     return df.withColumn(column, F.transform(column, lambda x: sigmoid(x.cast("double"))))
 
 
-def long_scores(scores: DataFrame, vocabulary: DataFrame, enabled: Sequence[str] | None = None) -> DataFrame:
-    """``(asset_id, idx, name, category, prob)``; scores beyond the vocabulary are dropped.
+def labelled_scores(scores: DataFrame, vocabulary: DataFrame, enabled: Sequence[str] | None = None) -> DataFrame:
+    """``scores`` with ``labels``: ``array<struct<idx, name, category, prob>>`` in index order.
 
-    The vocabulary is as long as one score vector, so by its statistics the
-    optimizer broadcasts it; nothing forces that.
+    The vocabulary, as long as one score vector, is one array value of the plan, so
+    an asset's scores never leave their row.  Scores beyond the vocabulary, and
+    labels beyond the scores, are dropped.
     """
-    rows = scores.select("asset_id", F.posexplode_outer("scores").alias("idx", "prob"))
     vocab = vocabulary.select("idx", "name", "category")
     if enabled is not None:
         vocab = vocab.where(F.col("category").isin(*enabled))
-    return rows.join(vocab, "idx").select("asset_id", "idx", "name", "category", F.col("prob").cast("double").alias("prob"))
+    entries = vocab.agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "name", "category")))).scalar()
+    paired = F.transform(
+        "_vocab",
+        lambda e: F.struct(
+            e["idx"].alias("idx"), e["name"].alias("name"), e["category"].alias("category"),
+            F.get(F.col("scores"), e["idx"]).cast("double").alias("prob"),
+        ),
+    )
+    rows = scores.withColumn("_vocab", entries)
+    return rows.withColumn("labels", F.filter(paired, lambda e: e["prob"].isNotNull())).drop("_vocab")
+
+
+def long_scores(scores: DataFrame, vocabulary: DataFrame, enabled: Sequence[str] | None = None) -> DataFrame:
+    """``(asset_id, idx, name, category, prob)``: the labels of every asset as rows."""
+    return label_rows(labelled_scores(scores, vocabulary, enabled), F.col("labels"))
+
+
+def label_rows(labelled: DataFrame, labels: Column) -> DataFrame:
+    rows = labelled.select("asset_id", F.explode_outer(labels).alias("_label")).where("_label is not null")
+    return rows.select("asset_id", "_label.idx", "_label.name", "_label.category", "_label.prob")
 
 
 def shown_name(name: Column, replace_underscore: bool = True) -> Column:
     return F.replace(name, F.lit("_"), F.lit(" ")) if replace_underscore else name
 
 
-def _not_excluded(exclude: Sequence[str], replace_underscore: bool) -> Column:
+def _not_excluded(label: Column, exclude: Sequence[str], replace_underscore: bool) -> Column:
     if not exclude:
         return F.lit(True)
-    raw = F.col("name")
-    return ~(raw.isin(*exclude) | shown_name(raw, replace_underscore).isin(*exclude))
+    return ~(label["name"].isin(*exclude) | shown_name(label["name"], replace_underscore).isin(*exclude))
 
 
 def pick_argmax(
-    long: DataFrame,
+    labels: Column,
     categories: Sequence[str] = ARGMAX_CATEGORIES,
     exclude: Sequence[str] = (),
     replace_underscore: bool = True,
-) -> DataFrame:
-    """The best label per asset and category, lowest index on ties.
+) -> Column:
+    """The best label of each category, lowest index on ties, as an array.
 
     Exclusion comes after the choice: nothing takes an excluded winner's place.
-    An asset's rows sit in one partition after the explode, so the partial
-    aggregation leaves one row per asset and category for the shuffle.
     """
-    best = F.max_by(F.struct("idx", "name", "prob"), F.struct(F.col("prob"), -F.col("idx")))
-    chosen = long.where(F.col("category").isin(*categories)).groupBy("asset_id", "category").agg(best.alias("b"))
-    chosen = chosen.select("asset_id", "b.idx", "b.name", "category", "b.prob")
-    return chosen.where(_not_excluded(exclude, replace_underscore))
+
+    def best(category: str) -> Column:
+        own = F.filter(labels, lambda e: e["category"] == category)
+        return F.array_max(F.transform(own, lambda e: F.struct(e["prob"].alias("p"), (-e["idx"]).alias("i"), e.alias("label"))))["label"]
+
+    chosen = F.array(*[best(c) for c in categories])
+    return F.filter(chosen, lambda e: e.isNotNull() & _not_excluded(e, exclude, replace_underscore))
 
 
 def pick_threshold(
-    long: DataFrame,
+    labels: Column,
     general: float = 0.35,
     character: float = 0.85,
     exclude: Sequence[str] = (),
     replace_underscore: bool = True,
-) -> DataFrame:
-    """Labels at or above the threshold of their category: a filter, no shuffle."""
-    keep = (F.col("category").isin(*GENERAL_LIKE) & (F.col("prob") >= general)) | (
-        F.col("category").isin(*CHARACTER_LIKE) & (F.col("prob") >= character)
-    )
-    return long.where(keep & _not_excluded(exclude, replace_underscore))
+) -> Column:
+    """Labels at or above the threshold of their category."""
 
+    def keep(e: Column) -> Column:
+        over = (e["category"].isin(*GENERAL_LIKE) & (e["prob"] >= general)) | (
+            e["category"].isin(*CHARACTER_LIKE) & (e["prob"] >= character)
+        )
+        return over & _not_excluded(e, exclude, replace_underscore)
 
-def order_selected(selected: DataFrame, replace_underscore: bool = True) -> DataFrame:
-    """``array<struct<name, category, prob>>`` per asset in the fixed order.
+    return F.filter(labels, keep)
 
-    A group is at most one vocabulary long.
-    """
-    rank = F.array_position(T.literal_list(CATEGORY_ORDER), F.col("category"))
-    entry = F.struct(
-        rank.alias("r"), (-F.col("prob")).alias("p"), F.col("idx"), F.col("name"), F.col("category"), F.col("prob")
-    )
-    ordered = F.array_sort(F.collect_list(entry))
-    shown = F.transform(
-        ordered,
-        lambda s: F.struct(
-            shown_name(s["name"], replace_underscore).alias("name"), s["category"].alias("category"), s["prob"].alias("prob")
-        ),
-    )
-    return selected.groupBy("asset_id").agg(shown.alias("selected"))
+
+def order_selected(labels: Column, replace_underscore: bool = True) -> Column:
+    """``array<struct<name, category, prob>>`` in the fixed order of categories, best first."""
+    order = T.literal_list(CATEGORY_ORDER)
+    entries = F.transform(labels, lambda e: F.struct(
+        F.array_position(order, e["category"]).alias("r"), (-e["prob"]).alias("p"), e["idx"].alias("idx"), e.alias("label")
+    ))
+    return F.transform(F.array_sort(entries), lambda s: F.struct(
+        shown_name(s["label"]["name"], replace_underscore).alias("name"), s["label"]["category"].alias("category"), s["label"]["prob"].alias("prob")
+    ))
 
 
 def append_tags(selected: Column, extra: Sequence[str], position: str = "append") -> Column:
@@ -139,13 +154,13 @@ def select_tags(
     position: str = "append",
     replace_underscore: bool = True,
 ) -> DataFrame:
-    """Scores to ordered tags per asset, assets with none included."""
-    long = long_scores(scores, vocabulary, enabled)
-    chosen = pick_argmax(long, ARGMAX_CATEGORIES, exclude, replace_underscore).unionByName(
-        pick_threshold(long, general, character, exclude, replace_underscore)
+    """Scores to ordered tags per asset, assets with none included: one projection."""
+    rows = labelled_scores(scores, vocabulary, enabled)
+    chosen = F.concat(
+        pick_argmax(F.col("labels"), ARGMAX_CATEGORIES, exclude, replace_underscore),
+        pick_threshold(F.col("labels"), general, character, exclude, replace_underscore),
     )
-    ordered = scores.select("asset_id").join(order_selected(chosen, replace_underscore), "asset_id", "left")
-    none = F.array().cast("array<struct<name:string,category:string,prob:double>>")
-    return ordered.withColumn("selected", append_tags(F.coalesce("selected", none), extra, position)).withColumn(
+    ordered = rows.select("asset_id", order_selected(chosen, replace_underscore).alias("selected"))
+    return ordered.select("asset_id", append_tags(F.col("selected"), extra, position).alias("selected")).withColumn(
         "text", tags_to_text(F.col("selected"))
     )

@@ -123,28 +123,15 @@ def dict_stats(dictionary: DataFrame, translations: DataFrame, lang: str, meta:
     return out
 
 
-def job_outcome(outcomes: DataFrame, first_errors: int = 5) -> DataFrame:
-    """Tallies per job, with its first error messages by file name.
-
-    The messages shown are a top-k of the report; all of them stay in the
-    outcome relation itself.
-    """
-    failed = F.col("status") == "error"
-    text = F.concat_ws(": ", "name", "message")
-    tallies = outcomes.groupBy("job").agg(
+def job_outcome(outcomes: DataFrame) -> DataFrame:
+    """Tallies per job."""
+    return outcomes.groupBy("job").agg(
         F.count_if(F.col("status") == "success").alias("success_count"),
-        F.count_if(failed).alias("fail_count"),
+        F.count_if(F.col("status") == "error").alias("fail_count"),
         F.count("*").alias("total"),
     )
-    order = Window.partitionBy("job").orderBy("name", "message")
-    top = (
-        outcomes.where(failed)
-        .select("job", "name", "message", text.alias("line"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= first_errors)
-        .groupBy("job")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]).alias("errors"))
-    )
-    return tallies.join(top, "job", "left").withColumn(
-        "errors", F.coalesce("errors", F.array().cast("array<string>"))
-    )
+
+
+def job_errors(outcomes: DataFrame) -> DataFrame:
+    """Every error of every job as a row of its own; a report sorts and pages them."""
+    return outcomes.where(F.col("status") == "error").select("job", "name", "message")

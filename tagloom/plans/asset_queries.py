@@ -211,24 +211,26 @@ def long_scores(v: Views):
     WHERE k = 1 AND replace(name, '_', ' ') NOT IN (SELECT replace(min(name), '_', ' ') FROM fx_vocab WHERE category = 'rating')""")
 def pick_argmax(v: Views):
     banned = v.vocab().where("category = 'rating'").agg(F.min("name")).first()[0]
-    long = sc.long_scores(v.probs(), v.vocab())
-    return sc.pick_argmax(long, exclude=[banned.replace("_", " ")]).select("asset_id", "idx", "name", "category")
+    rows = sc.labelled_scores(v.probs(), v.vocab())
+    best = sc.pick_argmax(F.col("labels"), exclude=[banned.replace("_", " ")])
+    return sc.label_rows(rows, best).select("asset_id", "idx", "name", "category")
 
 
 @query("pick_threshold", """
     SELECT asset_id, idx, name, category, round(prob, 6) AS prob FROM fx_long
     WHERE (category IN ('general', 'meta', 'model') AND prob >= 0.55) OR (category IN ('character', 'copyright', 'artist') AND prob >= 0.85)""")
 def pick_threshold(v: Views):
-    out = sc.pick_threshold(sc.long_scores(v.probs(), v.vocab()), general=0.55, character=0.85)
+    rows = sc.labelled_scores(v.probs(), v.vocab())
+    out = sc.label_rows(rows, sc.pick_threshold(F.col("labels"), general=0.55, character=0.85))
     return out.withColumn("prob", F.round("prob", 6))
 
 
 @query("order_selected", f"""
     WITH {_SELECTED} SELECT asset_id, string_agg(category || ':' || name, '|' ORDER BY k) AS tags FROM ordered GROUP BY asset_id""")
 def order_selected(v: Views):
-    long = sc.long_scores(v.probs(), v.vocab())
-    both = sc.pick_argmax(long).unionByName(sc.pick_threshold(long, 0.6, 0.8))
-    out = sc.order_selected(both)
+    rows = sc.labelled_scores(v.probs(), v.vocab())
+    both = F.concat(sc.pick_argmax(F.col("labels")), sc.pick_threshold(F.col("labels"), 0.6, 0.8))
+    out = rows.select("asset_id", sc.order_selected(both).alias("selected")).where("size(selected) > 0")
     return out.select("asset_id", shown(F.transform("selected", lambda s: F.concat_ws(":", s["category"], s["name"]))))
 
 

@@ -181,7 +181,56 @@ def import_translations(v: Views):
     text = F.when(F.col("line_no") % 7 == 0, 'x"y, z').otherwise(F.concat(F.lit("tr "), "lang"))
     lang = F.when(F.col("line_no") % 11 == 0, "fr").otherwise(F.col("lang"))
     line = F.when(F.col("line_no") % 13 == 0, tables.csv_line(F.col("tag"))).otherwise(tables.csv_line(F.col("tag"), text, lang))
-    return tables.import_translations(n.select("line_no", F.concat(F.lit(" "), line, F.lit(" ")).alias("line"))).drop("columns")
+    body = n.select("line_no", F.concat(F.lit(" "), line, F.lit(" ")).alias("line"))
+    head = v.spark.range(1).select(F.lit(0).cast("long").alias("line_no"), F.lit("\ufeffTag, Translated,lang").alias("line"))
+    return tables.import_translations(head.unionByName(body)).drop("columns")
+
+
+_FILE_LINES = "(SELECT *, row_number() OVER (ORDER BY name) AS k FROM fx_dict)"
+
+
+@query("read_files", f"""
+    WITH l AS (SELECT replace(name, '"', '') AS name, 1 AS category, post_count, k AS o FROM {_FILE_LINES}
+      UNION ALL SELECT replace(name, '"', ''), 2, 5, k + 1000000000 FROM {_FILE_LINES} WHERE k % 3 = 0)
+    SELECT name, arg_max(category, o)::INTEGER AS category, arg_max(post_count, o) AS post_count, '' AS aliases FROM l WHERE name <> '' GROUP BY name""")
+def read_files(v: Views):
+    """Dictionary lines from two files of different size; the later file in name order wins."""
+    root = scratch_folder(v.spark, "lines")
+    d = rk.number_rows(v.dictionary(), [F.col("name")], "k")
+    first = d.select("k", F.concat_ws(",", "name", F.lit("1"), F.col("post_count").cast("string")).alias("line"))
+    second = d.where("(k + 1) % 3 = 0").select("k", F.concat_ws(",", "name", F.lit("2,5")).alias("line"))
+    for name, rows in (("a", first), ("b", second)):
+        rows.coalesce(1).sortWithinPartitions("k").select("line").write.text(f"{root}/{name}")
+    return tables.load_tag_dict(tables.read_lines(v.spark, f"{root}/*"))
+
+
+@query("read_translation_files", """
+    SELECT tag, translated, lang, CAST(NULL AS VARCHAR) AS reason FROM fx_cache WHERE lang = 'ja'
+    UNION ALL SELECT tag, translated, lang, 'wrong header' FROM fx_cache WHERE lang = 'ko'""")
+def read_translation_files(v: Views):
+    """A translation file that was exported, and one with another header."""
+    root = scratch_folder(v.spark, "translations")
+    tables.write_translations(v.cache().where("lang = 'ja'").select("tag", "translated", "lang"), f"{root}/a", files=1)
+    body = v.cache().where("lang = 'ko'").select(F.lit(1).alias("at"), tables.csv_line(F.col("tag"), F.col("translated"), F.col("lang")).alias("value"))
+    head = v.spark.range(1).select(F.lit(0).alias("at"), F.lit("foo,bar").alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{root}/b")
+    return tables.import_translations(tables.read_lines(v.spark, f"{root}/*")).select("tag", "translated", "lang", "reason")
+
+
+@query("load_label_vocab_json", "SELECT idx::INTEGER AS idx, name, category FROM fx_vocab")
+def load_label_vocab_json(v: Views):
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("string"), F.struct(F.col("name").alias("tag"), F.initcap("category").alias("category")))))
+    return tables.load_label_vocab_json(v.vocab().agg(F.to_json(entries).alias("content")))
+
+
+@query("replace_snapshot", """
+    SELECT name, category, post_count, aliases FROM fx_dict""")
+def replace_snapshot(v: Views):
+    """The dictionary replaced twice, under names that sort the wrong way round, and read back."""
+    root = scratch_folder(v.spark, "dictionary")
+    tables.replace_dict(v.dictionary().limit(1), root, "9")
+    tables.replace_dict(v.dictionary(), root, "10")
+    return tables.current_snapshot(v.spark, root).select("name", "category", "post_count", "aliases")
 
 
 @query("latest_snapshot", """
@@ -347,12 +396,6 @@ def rgb_histogram(v: Views):
     return rows.where("share > 0").select("asset_id", F.col("bin").cast("long").alias("bin"), "share")
 
 
-@query("hsv_histogram")
-def hsv_histogram(v: Views):
-    rows = v.pictures().select("asset_id", F.posexplode_outer(im.hsv_histogram()).alias("bin", "share"))
-    return rows.where("share > 0").withColumn("share", F.round("share", 6))
-
-
 def _hex(images):
     return images.select("asset_id", "height", "width", "channels", F.hex("data").alias("data"))
 
@@ -462,18 +505,18 @@ def fuse_features(v: Views):
 
 @query("cluster_kmeans")
 def cluster_kmeans(v: Views):
-    return cl.cluster_kmeans(v.features().select("asset_id", "vec"), 10, starts=3).select("asset_id", "label")
+    return cl.cluster_kmeans(v.features().select("asset_id", "vec"), 10).select("asset_id", "label")
 
 
 @query("cluster_density")
 def cluster_density(v: Views):
-    return dn.cluster_density(v.features(), levels=16)
+    return dn.cluster_density(v.features())
 
 
 @query("cluster_fallback")
 def cluster_fallback(v: Views):
-    """Groups of more vectors than exist are never found, so k-means steps in."""
-    return dn.cluster_fallback(v.features(), min_cluster_size=100_000, levels=4)
+    """No two groups of more than half of all vectors exist, so k-means steps in."""
+    return dn.cluster_fallback(v.features(), min_cluster_size=v.features().count() // 2 + 1)
 
 
 @query("reduce_pca")
@@ -614,7 +657,7 @@ def zip_translations(v: Views):
 
 @query("translate_missing", """
     SELECT tag, lang, translated FROM fx_cache
-    UNION ALL SELECT name, 'ja', 't:' || name FROM fx_dict WHERE name NOT IN (SELECT tag FROM fx_cache WHERE lang = 'ja')""")
+    UNION ALL SELECT d.name, 'ja', 't:' || d.name FROM fx_dict d LEFT JOIN (SELECT tag FROM fx_cache WHERE lang = 'ja') t ON d.name = t.tag WHERE t.tag IS NULL""")
 def translate_missing(v: Views):
     def call(text: str) -> str:
         return "\n".join(f" t:{line} " for line in text.split("\n"))
@@ -629,24 +672,24 @@ def translate_missing(v: Views):
 @query("stream_job_progress", """
     SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, status, count(*) AS n FROM fx_progress GROUP BY ALL""")
 def stream_job_progress(v: Views):
-    """The events read as a stream, rolled up by hour; the table written last is read."""
-    batch = v.table("events")
-    stream = v.spark.readStream.schema(batch.schema).option("pathGlobFilter", "events*.parquet").parquet(v.dir)
-    events = stream.selectExpr(
+    """The events read as a stream, rolled up by hour; each batch writes what it changed."""
+    rows = v.table("events").selectExpr(
         "cast(ts AS timestamp) AS ts", "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'processing' ELSE 'success' END AS status"
     )
     root = scratch_folder(v.spark, "progress")
 
     def save(df, number):
-        df.write.mode("overwrite").parquet(f"{root}/table")
-
-    running = (
-        progress.throughput(events, "1 hour", "10 minutes")
-        .writeStream.outputMode("complete").foreachBatch(save)
-        .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    out = v.spark.read.parquet(f"{root}/table")
+        df.write.mode("overwrite").parquet(f"{root}/updates/batch={number}")
+
+    for part in (rows, rows.where(F.col("ts") < rows.select(F.max("ts") - F.expr("INTERVAL 1 DAY")).scalar())):
+        part.write.mode("append").parquet(f"{root}/new")  # the second time only late events, which do not count
+        running = (
+            progress.throughput(v.spark.readStream.schema(rows.schema).parquet(f"{root}/new"), "1 hour", "10 minutes")
+            .writeStream.outputMode("update").foreachBatch(save)
+            .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        )
+        running.awaitTermination()
+    out = v.spark.read.parquet(f"{root}/updates").groupBy("window_start", "status").agg(F.max_by("n", "batch").alias("n"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "status", "n")
 
 

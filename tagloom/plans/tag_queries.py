@@ -133,7 +133,7 @@ def join_translations(v: Views):
 
 
 @query("untranslated_tags", """
-    SELECT name, post_count FROM fx_dict WHERE name NOT IN (SELECT tag FROM fx_cache WHERE lang = 'zh-CN')""")
+    SELECT d.name, d.post_count FROM fx_dict d LEFT JOIN (SELECT tag FROM fx_cache WHERE lang = 'zh-CN') t ON d.name = t.tag WHERE t.tag IS NULL""")
 def untranslated_tags(v: Views):
     return mt.untranslated_tags(v.dictionary(), v.cache(), "zh-CN").select("name", "post_count")
 
@@ -311,19 +311,23 @@ def dict_stats(v: Views):
     return st.dict_stats(words, v.cache(), "ja", meta)
 
 
-@query("job_outcome", """
-    WITH o AS (SELECT job, 'f' || printf('%09d', current) AS name, status, 'code ' || total AS message FROM fx_progress),
-    r AS (SELECT job, name || ': ' || message AS line, row_number() OVER (PARTITION BY job ORDER BY name, message) AS k
-          FROM o WHERE status = 'error')
-    SELECT job, count(*) FILTER (status = 'success') AS success_count, count(*) FILTER (status = 'error') AS fail_count,
-      count(*) AS total, coalesce((SELECT string_agg(line, '|' ORDER BY k) FROM r WHERE r.job = o.job AND k <= 5), '') AS errors
-    FROM o GROUP BY job""")
-def job_outcome(v: Views):
-    rows = v.progress().select(
+def outcomes(v: Views):
+    return v.progress().select(
         "job", F.format_string("f%09d", "current").alias("name"), "status", F.concat(F.lit("code "), F.col("total").cast("string")).alias("message")
     )
-    out = st.job_outcome(rows)
-    return out.withColumn("errors", F.array_join("errors", "|"))
+
+
+@query("job_outcome", """
+    SELECT job, count(*) FILTER (status = 'success') AS success_count, count(*) FILTER (status = 'error') AS fail_count, count(*) AS total
+    FROM fx_progress GROUP BY job""")
+def job_outcome(v: Views):
+    return st.job_outcome(outcomes(v))
+
+
+@query("job_errors", """
+    SELECT job, 'f' || printf('%09d', current) AS name, 'code ' || total AS message FROM fx_progress WHERE status = 'error'""")
+def job_errors(v: Views):
+    return st.job_errors(outcomes(v))
 
 
 # -- ranking -----------------------------------------------------------------------

@@ -46,10 +46,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it from there.
+    """Write ``df`` as Parquet below the shared scratch folder and read it from there.
 
-    Iterative operators call this once per round: the plan stays short and a
-    lost executor only costs the tasks it was running.
+    Iterative operators call this once per round: the plan stays short, later steps
+    read only their columns, and a lost executor only costs the tasks it was running.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.tags import strip
 from tagloom.operators.ranking import number_rows
+from tagloom.session import materialize
 
 # fixed values: category numbers of a label vocabulary
 LABEL_CATEGORIES = {
     0: "general", 1: "artist", 3: "copyright", 4: "character", 5: "meta", 6: "quality", 7: "model", 9: "rating",
 }
+# fixed values: languages of translations; start and mark of a dictionary file's name
 LANGUAGES = ("zh-CN", "ja", "ko")
+SNAPSHOT_PREFIX, SNAPSHOT_MARK = "danbooru_", "_pt20"
 CSV_FIELD = r'(?:[^,"]|"[^"]*")*'
 
 
@@ -29,12 +34,25 @@ def unquote(field: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, line)`` of text files, numbered over all of them in file order.
+    """``(file, line_no, file_line, line)`` of text files, numbered in the order of their paths.
 
-    Line numbers only order rows; they are partition-wise ids, not counts.
+    ``line_no`` counts over all files, ``file_line`` within one; both begin at 0.  Spark
+    reads large files first and in pieces, so the order comes from path, piece and place.
     """
-    lines = spark.read.text(path)
-    return lines.select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"),
+        F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    rows = materialize(number_rows(materialize(lines), [F.col("file"), F.col("piece"), F.col("place")], "line_no"))
+    starts = rows.groupBy("file").agg(F.min("line_no").alias("start"))
+    return rows.join(starts, "file").select("file", "line_no", (F.col("line_no") - F.col("start")).alias("file_line"), "line")
+
+
+def with_files(lines: DataFrame) -> DataFrame:
+    """Plain numbered lines count as those of one file."""
+    if "file_line" in lines.columns:
+        return lines
+    return lines.withColumns({"file": F.lit(""), "file_line": F.col("line_no")})
 
 
 def load_tag_dict(lines: DataFrame) -> DataFrame:
@@ -57,13 +75,13 @@ def load_tag_dict(lines: DataFrame) -> DataFrame:
 
 
 def load_label_vocab(lines: DataFrame) -> DataFrame:
-    """Vocabulary from ``id,name,category`` lines; the header is line 0.
+    """Vocabulary from ``id,name,category`` lines; line 0 of each file is its header.
 
     ``idx`` follows line order; unknown category numbers mean ``general``.
     """
     f = F.transform(csv_fields(F.col("line")), unquote)
     names = F.create_map(*[F.lit(x) for pair in LABEL_CATEGORIES.items() for x in pair])
-    rows = lines.select("line_no", f.alias("f")).where((F.col("line_no") > 0) & (F.size("f") >= 3))
+    rows = with_files(lines).where("file_line > 0").select("line_no", f.alias("f")).where(F.size("f") >= 3)
     number = F.get("f", F.lit(2)).try_cast("int")
     rows = rows.select(
         "line_no", F.get("f", F.lit(1)).alias("name"),
@@ -86,7 +104,7 @@ def vocab_categories(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select(F.lower("category").alias("category")).distinct()
 
 
-def latest_snapshot(files: DataFrame, prefix: str = "danbooru_", mark: str = "_pt20") -> DataFrame:
+def latest_snapshot(files: DataFrame, prefix: str = SNAPSHOT_PREFIX, mark: str = SNAPSHOT_MARK) -> DataFrame:
     """Newest dictionary file of a listing, by name."""
     name = F.col("name")
     fits = name.startswith(prefix) & name.contains(mark) & name.endswith(".csv")
@@ -97,25 +115,30 @@ def latest_snapshot(files: DataFrame, prefix: str = "danbooru_", mark: str = "_p
 
 
 def check_header(lines: DataFrame) -> DataFrame:
-    """Whether line 0 reads ``tag,translated,lang``, case, spaces and a BOM aside."""
+    """Per file whether line 0 reads ``tag,translated,lang``, case, spaces and a BOM aside."""
     first = F.lower(F.replace(F.regexp_replace("line", "^﻿", ""), F.lit(" "), F.lit("")))
-    return lines.where(F.col("line_no") == 0).select((first == "tag,translated,lang").alias("header_ok"))
+    return with_files(lines).where("file_line = 0").select((first == "tag,translated,lang").alias("header_ok"), "file")
 
 
 def import_translations(lines: DataFrame) -> DataFrame:
-    """Every non-blank line after the header, judged: ``reason`` is null if accepted."""
+    """Every non-blank line after the header, judged: ``reason`` is null if accepted.
+
+    No line of a file with another header, or none, is accepted.
+    """
     f = F.transform(csv_fields(strip(F.col("line"))), unquote)
-    rows = lines.where((F.col("line_no") > 0) & (strip(F.col("line")) != "")).select("line_no", f.alias("f"))
+    named = with_files(lines)
+    rows = named.where((F.col("file_line") > 0) & (strip(F.col("line")) != "")).select("file", "line_no", f.alias("f"))
+    rows = rows.join(check_header(named), "file", "left")
     rows = rows.select(
-        "line_no", F.size("f").alias("columns"),
+        "line_no", F.size("f").alias("columns"), F.coalesce("header_ok", F.lit(False)).alias("header_ok"),
         *[strip(F.get("f", F.lit(i))).alias(n) for i, n in enumerate(("tag", "translated", "lang"))],
     )
     reason = (
-        F.when(F.col("columns") < 3, "too few columns")
+        F.when(~F.col("header_ok"), "wrong header").when(F.col("columns") < 3, "too few columns")
         .when((F.col("tag") == "") | (F.col("translated") == ""), "empty field")
         .when(~F.col("lang").isin(*LANGUAGES), "unknown language")
     )
-    return rows.withColumn("reason", reason)
+    return rows.withColumn("reason", reason).drop("header_ok")
 
 
 def import_summary(judged: DataFrame) -> DataFrame:
@@ -166,14 +189,14 @@ def write_snapshot(df: DataFrame, root: str, name: str) -> str:
     """
     path = f"{root.rstrip('/')}/version={name}"
     df.write.mode("errorifexists").parquet(path)
-    entry = df.sparkSession.range(1).select(F.lit(name).alias("version"))
+    entry = df.sparkSession.range(1).select(F.lit(name).alias("version"), F.lit(time.time_ns()).alias("written"))
     entry.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/log")
     return path
 
 
 def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The logged version with the greatest name."""
-    newest = spark.read.parquet(f"{root.rstrip('/')}/log").agg(F.max("version")).first()[0]
+    """The version that was logged last, whatever its name."""
+    newest = spark.read.parquet(f"{root.rstrip('/')}/log").agg(F.max_by("version", "written")).first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/version={newest}")
 
 

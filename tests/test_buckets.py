@@ -10,6 +10,16 @@ from tagloom.operators import buckets as B
 from tagloom.operators import ranking as R
 
 
+def grid(res_w, res_h, low, high, step):
+    """Every aligned size that no aligned size of the same width or height within the area exceeds."""
+    area, steps = res_w * res_h, range(low, high + 1, step)
+    tall = {(w, max(h for h in range(0, high + step, step) if h <= high and w * h <= area)) for w in steps}
+    tall |= {(w, high) for w in steps if high % step and w * high <= area}
+    square = max(s for s in range(0, res_w + res_h, step) if s * s <= area)
+    kept = {(w, h) for w, h in tall if h >= low}
+    return sorted(kept | {(h, w) for w, h in kept} | {(square, square)})
+
+
 def by_hand(w, h, sizes):
     if (w, h) in sizes:
         return w, h
@@ -24,7 +34,7 @@ def assets(spark):
 
 
 @pytest.mark.parametrize("sizes", [
-    B.grid_sizes(1024, 1024, 256, 1024, 64), B.grid_sizes(512, 768, 256, 768, 32), [(512, 512)], [(512, 512), (1024, 1024), (640, 480), (480, 640)],
+    grid(1024, 1024, 256, 1024, 64), grid(512, 768, 256, 768, 32), [(512, 512)], [(512, 512), (1024, 1024), (640, 480), (480, 640)],
 ])
 def test_assignment(spark, assets, sizes):
     buckets = spark.createDataFrame([(int(a), int(b)) for a, b in sizes], "bw long, bh long")
@@ -34,18 +44,17 @@ def test_assignment(spark, assets, sizes):
     assert near == want and cut == want
 
 
-def test_many_buckets_take_the_other_way(spark, assets, monkeypatch):
-    monkeypatch.setattr(B, "LITERAL_LIMIT", 3)
-    sizes = B.grid_sizes(1024, 1024, 256, 1024, 64)
-    buckets = spark.createDataFrame([(int(a), int(b)) for a, b in sizes], "bw long, bh long")
+def test_more_buckets_than_a_list_takes(spark, assets):
+    sizes = [(64 + 8 * i, 64 + 8 * j) for i in range(60) for j in range(60)]
+    buckets = spark.createDataFrame(sizes, "bw long, bh long")
     got = B.assign_bucket(assets, buckets).collect()
     assert len(got) == 800 and all((r.bw, r.bh) == by_hand(r.width, r.height, sizes) for r in got)
 
 
-def test_grid_as_table_and_as_list_agree(spark):
+def test_grid_table(spark):
     setting = (960, 1216, 320, 1536, 64)
     table = spark.createDataFrame([setting], "res_w long, res_h long, min_size long, max_size long, step long")
-    assert sorted((r.bw, r.bh) for r in B.bucket_grid(table).collect()) == B.grid_sizes(*setting)
+    assert sorted((r.bw, r.bh) for r in B.bucket_grid(table).collect()) == grid(*setting)
 
 
 def test_unreadable_sizes_are_skipped(spark):

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from tagloom.functions.fingerprints import choose_bands
 from tagloom.operators import buckets, duplicates, ranking, statistics
 from tagloom.plans.views import Views
@@ -47,3 +49,17 @@ def test_band_choice_follows_size_and_threshold():
         for t in range(0, 65):
             b = choose_bands(rows, t, t)
             assert b.left + b.right == t // b.count and sum(w for _, w in b.spans) == 64
+
+
+def test_scores_stay_in_their_row(spark):
+    from tagloom.operators import scoring
+
+    v = Views(spark, SF)
+    rows = scoring.labelled_scores(v.probs(), v.vocab())
+    for df in (
+        scoring.select_tags(v.probs(), v.vocab()), scoring.label_rows(rows, scoring.pick_argmax(F.col("labels"))),
+        scoring.label_rows(rows, scoring.pick_threshold(F.col("labels"))), rows.select("asset_id", scoring.order_selected(F.col("labels"))),
+    ):
+        plan = plan_of(df)
+        assert plan.count("embeddings.parquet") == 1 and "Join" not in plan
+        assert not re.search(r"Exchange hashpartitioning\((idx|asset_id)", plan)
