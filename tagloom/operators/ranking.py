@@ -155,33 +155,45 @@ def _grams(text: Column, width: int) -> Column:
     return F.when(F.length(text) >= width, grams).otherwise(F.array().cast("array<string>"))
 
 
-def search_tags_many(dictionary: DataFrame, queries: DataFrame, limit: int = 10, salts: int = 16) -> DataFrame:
+def _placed_grams(text: Column, width: int, stage) -> Column:
+    """Different pieces of ``text``, each with the best stage it has there."""
+    return F.transform(F.array_distinct(_grams(text, width)), lambda g: F.struct(g.alias("gram"), stage(g).alias("stage")))
+
+
+def _top(hits: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows per key; tasks keep no more before anything is shuffled."""
+    order = Window.partitionBy(*by).orderBy("stage", F.col("post_count").desc(), "name")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def search_tags_many(dictionary: DataFrame, queries: DataFrame, limit: int = 10, per_block: int = 4_096) -> DataFrame:
     """Completion of a whole relation of queries ``(query)``.
 
-    A query meets only entries that share its first three characters somewhere
-    (fewer if it is shorter), by an equi-join on that piece of text; the match
-    itself is then tested in full.  Entries are spread over ``salts`` so that a
-    piece found in a great many of them is not one task's work, and the ranking
-    keeps ``limit`` rows per query and task before anything is shuffled for it.
+    A query of one to three characters is itself a piece of text: every piece of the
+    entries keeps its ``limit`` best, and the query only looks its piece up.  A longer
+    query meets the entries that hold its first three characters, by an equi-join on
+    that piece; entries of a piece that many hold are dealt to blocks of ``per_block``,
+    the match itself is tested in full, and each block keeps ``limit`` rows per query.
     """
     wanted = queries.select("query").distinct().withColumn("key", query_key(F.col("query"))).where("key <> ''")
-    wanted = wanted.withColumn("gram", F.substr(F.col("key"), F.lit(1), F.lit(3)))
-    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    text = F.concat_ws("\n", F.lower("name"), F.lower("aliases"))
-    pieces = F.array_distinct(F.concat(_grams(text, 1), _grams(text, 2), _grams(text, 3)))
-    entries = dictionary.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int"))
-    entries = entries.withColumn("gram", F.explode_outer(pieces))
-    hits = (
-        entries.join(wanted, ["gram", "salt"])
-        .withColumn("stage", _stage(F.col("name"), F.col("aliases"), F.col("key")))
-        .where("stage is not null")
-    )
-    order = [F.col("stage"), F.col("post_count").desc(), F.col("name")]
-    local = Window.partitionBy("query", "salt").orderBy(*order)
-    hits = hits.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= limit)
-    total = Window.partitionBy("query").orderBy(*order)
-    return (
-        hits.withColumn("rank", F.row_number().over(total))
-        .where(F.col("rank") <= limit)
-        .select("query", "rank", "stage", "name", "post_count")
-    )
+    name, aliases = F.lower("name"), F.lower(F.coalesce("aliases", F.lit("")))
+    columns = ["gram", "stage", "name", "aliases", "post_count"]
+
+    def pieces(width: int) -> DataFrame:
+        in_name = _placed_grams(name, width, lambda g: F.when(F.startswith(name, g), 1).otherwise(2))
+        in_alias = F.filter(_placed_grams(aliases, width, lambda g: F.lit(3)), lambda p: ~F.contains(name, p["gram"]))
+        rows = dictionary.withColumn("_p", F.explode_outer(F.concat(in_name, in_alias))).where("_p is not null")
+        return rows.withColumns({"gram": F.col("_p.gram"), "stage": F.col("_p.stage")}).select(*columns)
+
+    widths = [pieces(w) for w in (1, 2, 3)]
+    short = _top(widths[0].unionByName(widths[1]).unionByName(widths[2]), ["gram"], limit)
+    short = short.join(wanted.select("query", F.col("key").alias("gram")), "gram")
+    long = wanted.where(F.length("key") > 3).withColumn("gram", F.substr(F.col("key"), F.lit(1), F.lit(3)))
+    held = widths[2].join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
+    held = held.select("gram", F.ceil(F.col("count") / per_block).cast("int").alias("blocks"))
+    asked = long.join(held, "gram").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    entries = widths[2].drop("stage").join(held, "gram").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    hits = entries.join(asked, ["gram", "block"]).withColumn("stage", _stage(F.col("name"), F.col("aliases"), F.col("key"))).where("stage is not null")
+    best = _top(_top(hits, ["query", "block"], limit), ["query"], limit)
+    out = ["query", "rank", "stage", "name", "post_count"]
+    return short.select(*out).unionByName(best.select(*out))

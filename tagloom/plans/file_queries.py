@@ -544,6 +544,21 @@ def cluster_map(v: Views):
     return out.select("asset_id", "cx", "cy", F.coalesce("center_x", none).alias("center_x"), F.coalesce("center_y", none).alias("center_y"))
 
 
+@query("cluster_picture")
+def cluster_picture(v: Views):
+    """The map of all vectors by their first two components."""
+    out = cl.cluster_map(v.features().select("asset_id", "label", "vec"))
+    return out.select("asset_id", "label", "cx", "cy", "center_x", "center_y")
+
+
+@query("cluster_job")
+def cluster_job(v: Views):
+    """From features to cluster sizes: fuse, reduce, group by density or k-means, count."""
+    rows = v.features().select("asset_id", F.slice("vec", 1, 40).alias("style"), F.slice("vec", 41, 24).alias("color"), F.col("vec").alias("semantic"))
+    fused = rows.select("asset_id", cl.fuse_features({"style": 0.5, "semantic": 0.3, "color": 0.2}).alias("vec"))
+    return cl.cluster_sizes(dn.cluster_fallback(cl.reduce_pca(fused, 16)))
+
+
 @query("cluster_sizes", """
     SELECT CASE WHEN label = 9 THEN -1 ELSE label END::INTEGER AS label, count(*) AS n, CASE WHEN label = 9 THEN 'noise' ELSE 'cluster_' || label END AS cluster
     FROM fx_features GROUP BY label""")

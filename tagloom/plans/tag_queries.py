@@ -334,7 +334,7 @@ def job_errors(v: Views):
 
 
 @query("search_tags", """
-    WITH q AS (SELECT DISTINCT substr(tag, 1, 3) AS query FROM fx_words),
+    WITH q AS (SELECT substr(tag, 1, 3) AS query FROM fx_words UNION SELECT tag FROM fx_words WHERE length(tag) = 4),
     k AS (SELECT query, replace(lower(query), ' ', '_') AS key FROM q WHERE query <> ''),
     d AS (SELECT name, lower(name) AS n, lower(aliases) AS a, post_count FROM fx_dict),
     hits AS (SELECT query, name, post_count, CASE WHEN starts_with(n, key) THEN 1 WHEN contains(n, key) THEN 2 ELSE 3 END AS stage
@@ -342,7 +342,9 @@ def job_errors(v: Views):
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY stage, post_count DESC, name) AS rank FROM hits)
     SELECT query, rank, stage, name, post_count FROM r WHERE rank <= 10""")
 def search_tags(v: Views):
-    asked = v.words().select(F.substring("tag", 1, 3).alias("query")).distinct()
+    """The beginnings of all words, and all words of four letters in full."""
+    words = v.words()
+    asked = words.select(F.substring("tag", 1, 3).alias("query")).union(words.where(F.length("tag") == 4).select("tag")).distinct()
     out = rk.search_tags_many(v.dictionary(), asked, 10)
     return out.select("query", F.col("rank").cast("long").alias("rank"), "stage", "name", "post_count")
 

@@ -24,9 +24,8 @@ class Views:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def balanced(self, name: str) -> DataFrame:
-        """A table of heavy rows, dealt out when it has fewer splits than cores."""
-        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        """A table of heavy rows, dealt out evenly."""
+        return self.table(name).repartition(self.spark.sparkContext.defaultParallelism)
 
     # orders -------------------------------------------------------------------
 
