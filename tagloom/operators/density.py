@@ -5,9 +5,9 @@ of at most 2,048, so no cell can become heavy.  Windows give each vector its
 nearest neighbours and a spanning tree of mutual reachability; the trees of all
 windows make one sparse graph.  Clusters are followed through the graph's
 components at a series of distances, and those with the greatest excess of mass
-are kept.  Up to 1,024 vectors there is a single window and the tree is exact;
-with one distance per edge so is the whole result.  For more vectors it is an
-approximation: a neighbour is found if any direction brings it near.
+are kept.  Number of rows of a window (BLOCK), directions and levels are parameters of
+quality, the same at every size: a neighbour is found if any direction brings it
+into a common window, and a split is seen if a level lies between its distances.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ def _distances(x: np.ndarray) -> np.ndarray:
 
 def _windows(nodes: DataFrame, width: int, directions: int) -> DataFrame:
     """``(window, id, vec)``: each row in up to two windows per direction."""
-    total = nodes.count()
     out = None
-    for t in range(directions if total > BLOCK else 1):
+    for t in range(directions):
         axis = np.random.default_rng(t).standard_normal(width).tolist()
         weights = F.lit(axis).cast("array<double>")
         along = F.aggregate(F.zip_with("vec", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -119,14 +118,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _levels(edges: DataFrame, most: int) -> list[float]:
-    """Rising distances: all edge weights if few, else evenly spread ones of them."""
-    few = [r[0] for r in edges.select("w").distinct().orderBy("w").limit(most + 1).collect()]
-    if len(few) <= most:
-        return few
+    """Rising distances: ``most`` evenly spread ones of the different edge weights."""
     marks = [i / most for i in range(1, most + 1)]
-    cut = edges.agg(F.percentile_approx("w", marks, 10_000)).first()[0]
-    top = edges.agg(F.max("w")).first()[0]
-    return sorted({*cut, top})
+    cut, top = edges.select("w").distinct().agg(F.percentile_approx("w", marks, 10_000), F.max("w")).first()
+    return [] if top is None else sorted({*cut, top})
 
 
 def cluster_density(
