@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Pages that are learned from, characters of each at most, skins of each, and passes over them.
-TRAIN_PAGES, TRAIN_CHARS, SKINS, PASSES = 240, 200_000, 3, 4
+TRAIN_PAGES, TRAIN_CHARS, SKINS, PASSES = 240, 200_000, 5, 4
 #: Elements whose start and end separate blocks, that have no end, and whose content is no text; fixed values.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -301,8 +301,20 @@ def skin(main: list[tuple[str, str]], rng: random.Random, sentence) -> tuple[lis
     """A page of (tag, text) main blocks in drawn containers among drawn boilerplate, and its labels."""
     inner = []
     for tag, text in main:
+        drawn = rng.random()
+        if tag == "p" and drawn < 0.1:  # texts also hold headings, lists, quotations and tables
+            heading = rng.choice(["h2", "h3", "h4"])
+            inner.append(f"<{heading}>\x01{entities.escape(' '.join(sentence().split()[: rng.randint(1, 7)]))}</{heading}>")
+        elif tag == "p" and drawn < 0.18:
+            items = [" ".join(sentence().split()[: rng.randint(2, 40)]) for _ in range(rng.randint(2, 5))]
+            inner.append(_wrap(rng.choice(["ul", "ol"]), "".join(f"<li>\x01{entities.escape(i)}</li>" for i in items)))
+        elif tag == "p" and drawn < 0.22:
+            cells = [" ".join(sentence().split()[: rng.randint(1, 5)]) for _ in range(rng.randint(2, 6))]
+            inner.append("<table><tr>" + "".join(f"<td>\x01{entities.escape(c)}</td>" for c in cells) + "</tr></table>")
+        if tag == "p" and drawn > 0.94:
+            tag = rng.choice(["blockquote", "pre", "figcaption", "dd"])
         inner.append(f"<{tag}>\x01{entities.escape(text)}</{tag}>")
-        if rng.random() < 0.06:
+        if rng.random() < 0.1:
             inner.append(_boiler(rng.choice(["advert", "share", "form", "sidebar", "notice"]), rng, sentence))
     body = _wrap(rng.choice(ARTICLE), "".join(inner))
     for _ in range(rng.randint(0, 2)):
