@@ -203,3 +203,31 @@ def translate_missing(
     lines = answered.where("error is null").withColumn("lines", F.split("reply", "\n"))
     fresh = zip_translations(lines, bulk=True).withColumns({"lang": F.lit(lang), "seq": F.lit(seq).cast("long")})
     return upsert_translations(translations, fresh), answered.where("error is not null").select("chunk", "tags", "error")
+
+
+def translate_tags(
+    tags: DataFrame,
+    translations: DataFrame,
+    lang: str,
+    call: Callable[[str], str],
+    size: int = 20,
+    seq: int = 1 << 40,
+    concurrency: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(translated, new cache, failed batches)`` for the tags of a dataset.
+
+    Different tags that the cache lacks are sent in batches of ``size``, underscores as
+    blanks, one per line; answers that are missing, or equal to the tag, are not kept.
+    """
+    asked = tags.select("tag").where("tag is not null").distinct()
+    known = translations.where(F.col("lang") == lang).select("tag", "translated")
+    todo = asked.join(known, "tag", "left_anti")
+    numbered = chunk_rows(todo, [F.col("tag")], size)
+    batches = numbered.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("position", "tag"))).alias("rows"))
+    batches = batches.select("chunk", F.transform("rows", lambda r: r["tag"]).alias("tags"))
+    batches = batches.withColumn("request", F.array_join(F.transform("tags", lambda t: prepare_translation(t)), "\n"))
+    answered = materialize(enrich_rows(batches, call, concurrency=concurrency))
+    fresh = zip_translations(answered.where("error is null").withColumn("lines", F.split("reply", "\n"))).where("translated <> ''")
+    cache = upsert_translations(translations, fresh.withColumns({"lang": F.lit(lang), "seq": F.lit(seq).cast("long")}))
+    both = known.unionByName(fresh.select("tag", "translated"))
+    return asked.join(both, "tag", "left"), cache, answered.where("error is not null").select("chunk", "tags", "error")

@@ -681,6 +681,19 @@ def translate_missing(v: Views):
     return cache.select("tag", "lang", "translated")
 
 
+@query("translate_tags", """
+    SELECT w.tag, coalesce(t.translated, CASE WHEN length(w.tag) % 7 = 0 THEN NULL ELSE 't:' || replace(w.tag, '_', ' ') END) AS translated
+    FROM (SELECT DISTINCT tag FROM fx_words) w LEFT JOIN (SELECT * FROM fx_cache WHERE lang = 'ko') t ON w.tag = t.tag""")
+def translate_tags(v: Views):
+    """Some answers repeat the tag, which counts as none."""
+
+    def call(text: str) -> str:
+        return "\n".join(line if len(line) % 7 == 0 else f"t:{line}" for line in text.split("\n"))
+
+    translated, _, _ = en.translate_tags(v.words(), v.cache(), "ko", call, size=50)
+    return translated.select("tag", "translated")
+
+
 # -- streams ----------------------------------------------------------------------
 
 

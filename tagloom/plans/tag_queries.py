@@ -349,6 +349,21 @@ def search_tags(v: Views):
     return out.select("query", F.col("rank").cast("long").alias("rank"), "stage", "name", "post_count")
 
 
+@query("search_translated", """
+    WITH q AS (SELECT DISTINCT substr(tag, 1, 2) AS query FROM fx_words),
+    k AS (SELECT query, replace(lower(query), ' ', '_') AS key FROM q WHERE query <> ''),
+    d AS (SELECT name, lower(name) AS n, lower(aliases) AS a, post_count FROM fx_dict),
+    hits AS (SELECT query, name, post_count, CASE WHEN starts_with(n, key) THEN 1 WHEN contains(n, key) THEN 2 ELSE 3 END AS stage
+             FROM k JOIN d ON contains(n, key) OR contains(a, key)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY stage, post_count DESC, name) AS rank FROM hits)
+    SELECT r.query, r.rank, r.name, t.translated FROM r LEFT JOIN (SELECT * FROM fx_cache WHERE lang = 'ja') t ON r.name = t.tag WHERE rank <= 5""")
+def search_translated(v: Views):
+    """Suggestions with their translation for a language."""
+    found = rk.search_tags_many(v.dictionary(), v.words().select(F.substring("tag", 1, 2).alias("query")), 5)
+    named = mt.join_translations(found.withColumnRenamed("name", "tag"), v.cache(), "ja")
+    return named.select("query", F.col("rank").cast("long").alias("rank"), F.col("tag").alias("name"), "translated")
+
+
 @query("rename_plan", """
     SELECT name, 'set_' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INTEGER, '0') || '.' || ext AS renamed
     FROM (SELECT name, ext, row_number() OVER (ORDER BY name) + 7 AS n FROM fx_assets)""")
