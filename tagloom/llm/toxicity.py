@@ -101,39 +101,54 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def over_represented(toxic: set, ordinary: set) -> dict[bytes, float]:
+def pair_counts(texts: list[tuple[str, int]]) -> tuple[list[bytes], np.ndarray]:
+    """Different words, and per label (ordinary, toxic) how many different words each one follows."""
+    number: dict[bytes, int] = {}
+    seen: tuple[list, list] = ([], [])
+    for text, label in texts:
+        ids = np.array([number.setdefault(w, len(number) + 1) for w in words_of(text)], dtype=np.int64)
+        seen[label].append(np.stack([np.r_[0, ids[:-1]], ids]) if len(ids) else np.empty((2, 0), dtype=np.int64))
+    size = len(number) + 1
+    counts = np.zeros((2, size), dtype=np.int64)
+    for label in (0, 1):
+        if seen[label]:
+            before, word = np.concatenate(seen[label], axis=1)
+            counts[label] = np.bincount(np.unique(before * size + word) % size, minlength=size)
+    return list(number), counts[:, 1:]
+
+
+def over_represented(words: list[bytes], counts: np.ndarray) -> dict[bytes, float]:
     """Word beginnings and words that toxic pairs of neighbours hold far more often, with their weight."""
-    counts = []
-    for pairs in (toxic, ordinary):
-        count: Counter = Counter()
-        for _, word in pairs:
-            count.update([word[:k] for k in PREFIXES if k <= len(word)])
-            if len(word) >= PREFIXES.stop:
-                count[word] += 1
-        counts.append(count)
-    tested = max(1, len(counts[0]))
-    share = max(1, len(ordinary)) / max(1, len(toxic))
-    found = {}
-    for part, n in counts[0].items():
-        ratio = n * share / (counts[1][part] + 0.5)
-        if n >= MIN_PAIRS and ratio >= MIN_RATIO and (weight := n * math.log(ratio)) >= math.log(tested) + MARGIN:
+
+    def parts(word: bytes) -> list[bytes]:
+        return [word[:k] for k in PREFIXES if k <= len(word)] + ([word] if len(word) >= PREFIXES.stop else [])
+
+    toxic: Counter = Counter()
+    for i in np.flatnonzero(counts[1]).tolist():
+        for part in parts(words[i]):
+            toxic[part] += int(counts[1][i])
+    ordinary: Counter = Counter()
+    for i in np.flatnonzero(counts[0]).tolist():
+        for part in parts(words[i]):
+            if part in toxic:
+                ordinary[part] += int(counts[0][i])
+    share = max(1, int(counts[0].sum())) / max(1, int(counts[1].sum()))
+    least, found = math.log(max(1, len(toxic))) + MARGIN, {}
+    for part, n in toxic.items():
+        ratio = n * share / (ordinary[part] + 0.5)
+        if n >= MIN_PAIRS and ratio >= MIN_RATIO and (weight := n * math.log(ratio)) >= least:
             found[part] = weight
     return found
 
 
 def _dictionaries(texts: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    pairs: tuple[set, set] = (set(), set())
-    for text, label in texts:
-        words = words_of(text)
-        pairs[label].update(zip([b"", *words[:-1]], words, strict=True) if words else ())
-    marks = over_represented(pairs[1], pairs[0])
-    weight = lambda w: max([marks.get(w, 0.0), *(marks.get(w[:k], 0.0) for k in PREFIXES)])
-    common = Counter(w for _, w in pairs[0])
-    ordinary = [w for w, _ in sorted(common.items(), key=lambda x: (x[1], x[0])) if not weight(w)][-ORDINARY_WORDS:]
-    counts = Counter(w for _, w in pairs[1])
-    toxic = sorted((w for w in counts if weight(w)), key=lambda w: (weight(w), counts[w], w))[-TOXIC_WORDS:]
-    base = b"".join(map(window, ordinary)) or b" " * 8
-    return base, base + b"".join(map(window, toxic))
+    words, counts = pair_counts(texts)
+    marks = over_represented(words, counts)
+    weight = [max([marks.get(w, 0.0), *(marks.get(w[:k], 0.0) for k in PREFIXES)]) for w in words]
+    common = sorted((i for i in np.flatnonzero(counts[0]).tolist() if not weight[i]), key=lambda i: (counts[0][i], words[i]))
+    marked = sorted((i for i in np.flatnonzero(counts[1]).tolist() if weight[i]), key=lambda i: (weight[i], counts[1][i], words[i]))
+    base = b"".join(window(words[i]) for i in common[-ORDINARY_WORDS:]) or b" " * 8
+    return base, base + b"".join(window(words[i]) for i in marked[-TOXIC_WORDS:])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
