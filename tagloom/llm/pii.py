@@ -45,6 +45,8 @@ GIVEN = {
 }
 #: Letters that stand for each other: by script, lower case, vowels and consonants apart.
 CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àâäéèêëíîïóôöúùûüáñçß", "αειουηω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
+#: What names stand behind, as in KINDS.
+TITLES = ("Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr.", "Sra.")
 MAX_ATTEMPTS = 60
 
 
@@ -106,14 +108,20 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(turned, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def _seeds(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    """The digests an entity's surrogate is drawn from: of itself, and of what it shares with others."""
+    shared = F.when(kind == "email", F.substring_index(canon, "@", -1))
+    return F.struct(_digest(key, kind, canon, attempt.cast("string")).alias("own"), _digest(key, F.lit("domain"), shared).alias("domain"))
+
+
+def _surrogate(kind: Column, canon: Column, attempt: Column, seeds: Column, key: str) -> Column:
     """The surrogate of a canonical form, itself in canonical form."""
-    tried = attempt.cast("string")
-    d = _digest(key, kind, canon, tried)
+    d, tried = seeds["own"], attempt.cast("string")
     digits = F.regexp_replace(canon, "[^0-9]", "")
     drawn = F.array_join(F.transform(F.split(digits, ""), lambda c, i: _pick("0123456789", d, i)), "")
     kept = F.concat(F.substring(digits, 1, 1), F.substring(drawn, F.lit(2), F.length(drawn)))
-    check = F.concat(F.substring(kept, F.lit(1), F.length(kept) - 1), ((10 - _luhn(F.concat(F.substring(kept, F.lit(1), F.length(kept) - 1), F.lit("0")))) % 10).cast("string"))
+    stem = F.substring(kept, F.lit(1), F.length(kept) - 1)
+    check = F.concat(stem, ((10 - _luhn(F.concat(stem, F.lit("0")))) % 10).cast("string"))
     card = F.when(_luhn(digits) == 0, check).otherwise(kept)
     phone = F.when(canon.startswith("+"), F.concat(F.lit("+"), kept)).otherwise(drawn)
     octet = lambda c, i: (
@@ -124,7 +132,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     place = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(_mapped(local, d), F.lit("@"), _mapped(place, _digest(key, F.lit("domain"), domain)), F.lit("."), top)
+    email = F.concat(_mapped(local, d), F.lit("@"), _mapped(place, seeds["domain"]), F.lit("."), top)
     prefix = F.when(kind == "aws_key", F.substring(canon, 1, 4)).otherwise(F.regexp_extract(canon, r"^[A-Za-z_]+[=:]", 0))
     rest = F.substring(canon, F.length(prefix) + 1, F.length(canon))
     hexed = F.array_join(F.transform(F.split(rest, ""), lambda c, i: _pick("0123456789abcdef", d, i)), "")
@@ -132,9 +140,9 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     secret = F.concat(prefix, F.when(kind == "aws_key", upper).when(rest.rlike("^[0-9a-f]+$"), hexed).otherwise(_mapped(rest, d)))
     names = F.split(canon, " ")
     family = F.transform(names, lambda n: _mapped(n, _digest(key, F.lit("family"), n, tried)))
-    given = F.when(kind == "male", F.get(F.array(*map(F.lit, GIVEN["male"])), _draw(_digest(key, F.lit("given"), names[0], tried), F.lit(0), 16))).otherwise(
-        F.get(F.array(*map(F.lit, GIVEN["female"])), _draw(_digest(key, F.lit("given"), names[0], tried), F.lit(0), 16)))
-    name = F.when(F.size(names) > 1, F.concat_ws(" ", given, F.array_join(F.slice(family, F.lit(2), F.size(family)), " "))).otherwise(family[0])
+    given = [F.get(F.array(*map(F.lit, GIVEN[g])), _draw(_digest(key, F.lit("given"), names[0], tried), F.lit(0), len(GIVEN[g]))) for g in ("male", "female")]
+    full = F.concat_ws(" ", F.when(kind == "male", given[0]).otherwise(given[1]), F.array_join(F.slice(family, F.lit(2), F.size(family)), " "))
+    name = F.when(F.size(names) > 1, full).otherwise(family[0])
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", drawn)
         .when(kind == "card", card).when(kind.isin("aws_key", "password", "hex_secret"), secret).when(kind.isin("male", "female"), name)
@@ -142,6 +150,12 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     )
 
 
+def _with_surrogate(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (kind, canon, attempt) with ``new``; digests are a column of their own, made once per row."""
+    kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
+    return rows.withColumn("seeds", _seeds(key, kind, canon, attempt)).withColumn("new", _surrogate(kind, canon, attempt, F.col("seeds"), key)).drop("seeds")
+
+
 def _in_form(kind: Column, entity: Column, surrogate: Column) -> Column:
     """The surrogate with the punctuation, capitals or title of the entity."""
     digits = F.regexp_replace(surrogate, "[^0-9]", "")
@@ -157,27 +171,32 @@ def _in_form(kind: Column, entity: Column, surrogate: Column) -> Column:
 
 def redrawn(listed: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogates collide, with the attempt that does not."""
-    drawn = stored(listed.withColumn("attempt", F.lit(0)).withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "drawn")
+    drawn = stored(_with_surrogate(listed.withColumn("attempt", F.lit(0)), key), "drawn")
     originals = listed.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
     for _ in range(MAX_ATTEMPTS):
-        # the least canonical form keeps a surrogate that several drew
+        # the least attempt and canonical form keeps a surrogate that several drew
         firsts = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("drawn"))
         real = firsts.join(originals, ["kind", "new"], "left").where("drawn > 1 OR real").select("kind", "new", "first", F.coalesce("real", F.lit(False)).alias("real"))
-        bad = stored(drawn.join(real, ["kind", "new"]).where("real OR canon <> first.canon").select("kind", "canon"), "collisions")
+        bad = stored(drawn.join(real, ["kind", "new"]).where("real OR canon <> first.canon").select("kind", "canon", "attempt"), "collisions")
         if bad.isEmpty():
             return drawn.where("attempt > 0").select("kind", "canon", "attempt")
-        again = drawn.join(bad.withColumn("again", F.lit(1)), ["kind", "canon"], "left")
-        again = again.withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).withColumn(
-            "new", F.when(F.col("again").isNull(), F.col("new")).otherwise(_surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
-        )
-        drawn = stored(again.select("kind", "canon", "attempt", "new"), "drawn")
+        again = _with_surrogate(bad.withColumn("attempt", F.col("attempt") + 1), key)
+        drawn = stored(drawn.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "drawn")
     raise RuntimeError("more entities of one form than surrogates of that form")
 
 
+def _may_hold(text: Column) -> Column:
+    """Whether a text has what every entity has some of; most texts fail this cheap test before the pattern."""
+    test = text.rlike("[0-9@=:]")
+    for title in TITLES:
+        test = test | text.contains(title)
+    return test
+
+
 def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and, if asked for, the number of entities in ``count_col``."""
     columns = docs.columns
-    with_pii = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
+    with_pii = F.coalesce(_may_hold(F.col(text_col)) & F.col(text_col).rlike(PATTERN), F.lit(False))
     hits = docs.where(with_pii).select(
         F.struct(*[docs[c] for c in columns]).alias("row"), F.monotonically_increasing_id().alias("place"), F.col(text_col).alias("text"),
         F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)).alias("found"),
@@ -190,9 +209,14 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     attempts = hits.select("place", F.explode("found").alias("entity")).distinct().join(by_form, "entity").groupBy("place").agg(
         F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("attempts")
     )
-    tried = lambda e: F.coalesce(F.element_at(F.col("attempts"), e), F.lit(0))
-    whole = lambda e: _in_form(_kind(e), e, _surrogate(_kind(e), _canonical(_kind(e), e), tried(e), key))
-    done = hits.join(attempts, "place", "left").withColumn("new", F.transform("found", whole))
+    # each step is an array of its own, so nothing is computed again for every character
+    known = F.transform("found", lambda e: F.struct(e.alias("e"), _kind(e).alias("kind"), F.coalesce(F.element_at(F.col("attempts"), e), F.lit(0)).alias("attempt")))
+    formed = F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), _canonical(x["kind"], x["e"]).alias("canon")))
+    seeded = F.transform(formed, lambda x: F.struct(
+        x["e"].alias("e"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), x["canon"].alias("canon"), _seeds(key, x["kind"], x["canon"], x["attempt"]).alias("seeds")
+    ))
+    drawn = F.transform(seeded, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), _surrogate(x["kind"], x["canon"], x["attempt"], x["seeds"], key).alias("new")))
+    done = hits.join(attempts, "place", "left").withColumn("new", F.transform(drawn, lambda x: _in_form(x["kind"], x["e"], x["new"])))
     pieces = F.split("text", PATTERN, -1)
     merged = F.array_join(F.zip_with(pieces, "new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
     changed = done.select(*[(merged if c == text_col else F.col("row")[c]).alias(c) for c in columns], *([F.size("found").cast("long").alias(count_col)] if count_col else []))
