@@ -33,6 +33,17 @@ def folded(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def bounded_sample(rows: DataFrame, total: int, most: int, id_col: str) -> DataFrame:
+    """At most ``most`` rows by a hash of their ids; rows without an id are not drawn.
+
+    ``total`` is the number of rows they come from. A share of ids that gives about twice as many rows as
+    are wanted is taken first, so no task meets more than that, however many rows there are.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
+    share = min(1.0, 2 * most / max(1, total))
+    return rows.where(F.col(id_col).isNotNull() & (place < int(share * (1 << 30)))).orderBy(place, id_col).limit(most)
+
+
 def power_of_two(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, n))))
 

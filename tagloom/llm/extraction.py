@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tagloom.llm.common import bounded_sample
+
 #: Pages that are learned from, characters of each at most, skins of each, and passes over them.
 TRAIN_PAGES, TRAIN_CHARS, SKINS, PASSES = 240, 200_000, 5, 4
 #: Elements whose start and end separate blocks, that have no end, and whose content is no text; fixed values.
@@ -361,7 +363,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Ch
     marked = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).where(
         (F.length("_html") <= TRAIN_CHARS) & (F.size(F.regexp_extract_all("_html", F.lit(r"(?i)<(article|main)[\s>]"), F.lit(0))) == 1)
     )
-    drawn = marked.orderBy(F.xxhash64("_id"), "_id", "_html").limit(TRAIN_PAGES).collect()
+    drawn = bounded_sample(marked, pages.count(), TRAIN_PAGES, "_id").collect()
     return train([r["_html"] for r in drawn])
 
 
