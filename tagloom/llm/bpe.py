@@ -18,6 +18,7 @@ import base64
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Characters of text, and pre-tokens of one text, that are worked on at a time.
-SLICE_CHARS, SLICE_TOKENS = 2_000_000, 500_000
+SLICE_CHARS, SLICE_TOKENS = 2_000_000, 400_000
 #: Misses whose ids a Python worker remembers; only speed depends on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -106,6 +107,7 @@ class Vocabulary:
             self.split = regex.compile(self.pattern)
             self.packed = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
             self.memory: dict[bytes, bytes] = {}
+            self.older: dict[bytes, bytes] = {}
             sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
             self.token_size, self.token_start = sizes, np.cumsum(sizes) - sizes
             self.token_bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
@@ -120,11 +122,7 @@ class Vocabulary:
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts at a place
         shift = n.bit_length()
         mask, both = (1 << shift) - 1, 2 * shift
-        heap = []
-        for i in range(n - 1):
-            rank = rank_of(word[i : i + 2])
-            if rank is not None:
-                heap.append(rank << both | i << shift | i + 2)
+        heap = [rank << both | i << shift | i + 2 for i in range(n - 1) if (rank := rank_of(word[i : i + 2])) is not None]
         heapify(heap)
         while heap:
             code = heappop(heap)
@@ -147,7 +145,7 @@ class Vocabulary:
         while i < n:
             ids.append(rank_of(word[i : end[i]]))
             i = end[i]
-        return np.array(ids, dtype="<u4").tobytes()
+        return pack(f"<{len(ids)}I", *ids)
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different pre-tokens, flat, and the number of ids of each."""
@@ -159,9 +157,13 @@ class Vocabulary:
                 continue
             ids = memory.get(word)
             if ids is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                ids = memory[word] = self.merge(word)
+                ids = self.older.get(word)
+                if ids is None:
+                    ids = self.merge(word)
+                if len(memory) >= REMEMBERED // 2:  # what was asked for lately stays a generation longer
+                    self.older, self.memory = memory, {}
+                    memory = self.memory
+                memory[word] = ids
             found.append(ids)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         return np.frombuffer(b"".join(found), dtype="<u4"), sizes
