@@ -41,7 +41,7 @@ PREFIXES, MIN_PAIRS, MIN_RATIO, MARGIN = range(4, 9), 3, 8.0, 4.0
 STEPS = (6, 9, 12, 15, 20)
 CUT = 0.3
 #: Gains of words that a Python worker remembers; only speed depends on it.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 ALPHABETS = [bytes((i + 61 * k) % 256 for i in range(256)) for k in range(VERSIONS)]
 
 
