@@ -175,8 +175,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows that share an id are one document, of which one row stays; rows without an id all stay.
     """
+    return keep_least(docs, groups(docs, id_col, text_col, shingle), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with the document of each component whose id is the component's, given (doc_id, component_id)."""
     columns = docs.columns
-    found = stored(groups(docs, id_col, text_col, shingle).where("doc_id IS NOT NULL"), "members")
+    found = stored(found.where("doc_id IS NOT NULL"), "members")
     marked = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
     # only ids to drop or to reduce to one row are looked up
     marked = marked.where("least < doc_id OR rows > 1").select(F.col("doc_id").alias("marked_id"), (F.col("least") < F.col("doc_id")).alias("drop"))
