@@ -2,10 +2,10 @@
 
 One pattern finds e-mail addresses, telephone, card and social security numbers, IPv4 addresses, access keys,
 passwords, hexadecimal secrets and names behind a form of address. An entity has a canonical form (digits of a
-number, lower case of an address, a name without its title); its surrogate is a function of the key, the
+number, lower case of an address, a name without its title, a secret without the name before it); its surrogate is a function of the key, the
 kind, the canonical form and an attempt number, so the same entity has the same surrogate in every document.
 Surrogates keep kind, length, punctuation and capitals, the script of letters (vowels and consonants apart), the
-country code and card brand, the validity of a card's check digit, the top-level domain, and for names the gender of
+country code and card brand, the case of hexadecimal secrets, the validity of a card's check digit, the top-level domain, and for names the gender of
 the title; addresses of one domain stay together.
 
 Collision checks: all different entities are listed once (counts combined before their shuffle). A surrogate
@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import stored
 
+#: A name of a secret with what stands before its value.
+KEYED = r"(?i:password|passwd|pwd|secret|token|api_key)"
 #: Kind and pattern, the first that fits an entity counts.
 KINDS: dict[str, str] = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "aws_key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?i:password|passwd|pwd|secret|token|api_key)[=:][^\s\"'<>|,;]{4,}",
-    "hex_secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    # a value in quotes, one right behind the sign, or one with a digit behind blanks (prose and code have words there)
+    "password": KEYED + r"(?:[\"']?[ \t]*[=:][ \t]*(?:\"[^\"\r\n]{4,}(?=\"|$)|'[^'\r\n]{4,}(?='|$))|[=:][^\s\"'<>|,;]{4,}"
+    r"|[\"']?[ \t]*[=:][ \t]*(?=[^\s0-9]*[0-9])[\p{L}0-9+/_.~!@#$%^&*=\-]{4,}(?=[\s\"'<>|,;]|$))",
+    "hex_secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[.\-]\d{4}(?!\d)|(?<![\d\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -50,11 +54,19 @@ TITLES = ("Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr
 MAX_ATTEMPTS = 60
 
 
+#: What stands before the value of a password.
+BEFORE = "^" + KEYED + r"[\"']?[ \t]*[=:][ \t]*[\"']?"
+SECRETS = ("aws_key", "password", "hex_secret")
+
+
 def _kind(entity: Column) -> Column:
-    found = None
-    for kind, pattern in KINDS.items():
-        fits = entity.rlike(f"^(?:{pattern})$")
+    """The kind; a key or a hexadecimal secret is one behind a name as well."""
+    value, found = F.regexp_replace(entity, BEFORE, ""), None
+    for kind in ("aws_key", "hex_secret"):
+        fits = value.rlike(f"^(?:{KINDS[kind]})$")
         found = F.when(fits, kind) if found is None else found.when(fits, kind)
+    for kind, pattern in KINDS.items():
+        found = found.when(entity.rlike(f"^(?:{pattern})$"), kind)
     return found.otherwise("other")
 
 
@@ -67,7 +79,9 @@ def _canonical(kind: Column, entity: Column) -> Column:
     name = F.regexp_replace(entity, r"^[^ ]+ ", "")
     return (
         F.when(_is_number(kind), F.concat(plus, F.regexp_replace(entity, r"[^0-9]", "")))
-        .when(kind == "email", F.lower(entity)).when(kind.isin("male", "female"), name).otherwise(entity)
+        .when(kind == "email", F.lower(entity)).when(kind.isin("male", "female"), name)
+        .when(kind == "hex_secret", F.lower(F.regexp_replace(entity, BEFORE, ""))).when(kind.isin(*SECRETS), F.regexp_replace(entity, BEFORE, ""))
+        .otherwise(entity)
     )
 
 
@@ -133,11 +147,11 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, seeds: Column, key:
     top = F.substring_index(domain, ".", -1)
     place = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
     email = F.concat(_mapped(local, d), F.lit("@"), _mapped(place, seeds["domain"]), F.lit("."), top)
-    prefix = F.when(kind == "aws_key", F.substring(canon, 1, 4)).otherwise(F.regexp_extract(canon, r"^[A-Za-z_]+[=:]", 0))
+    prefix = F.when(kind == "aws_key", F.substring(canon, 1, 4)).otherwise("")
     rest = F.substring(canon, F.length(prefix) + 1, F.length(canon))
     hexed = F.array_join(F.transform(F.split(rest, ""), lambda c, i: _pick("0123456789abcdef", d, i)), "")
     upper = F.array_join(F.transform(F.split(rest, ""), lambda c, i: _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", d, i)), "")
-    secret = F.concat(prefix, F.when(kind == "aws_key", upper).when(rest.rlike("^[0-9a-f]+$"), hexed).otherwise(_mapped(rest, d)))
+    secret = F.concat(prefix, F.when(kind == "aws_key", upper).when(kind == "hex_secret", hexed).otherwise(_mapped(rest, d)))
     names = F.split(canon, " ")
     family = F.transform(names, lambda n: _mapped(n, _digest(key, F.lit("family"), n, tried)))
     given = [F.get(F.array(*map(F.lit, GIVEN[g])), _draw(_digest(key, F.lit("given"), names[0], tried), F.lit(0), len(GIVEN[g]))) for g in ("male", "female")]
@@ -145,7 +159,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, seeds: Column, key:
     name = F.when(F.size(names) > 1, full).otherwise(family[0])
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", drawn)
-        .when(kind == "card", card).when(kind.isin("aws_key", "password", "hex_secret"), secret).when(kind.isin("male", "female"), name)
+        .when(kind == "card", card).when(kind.isin(*SECRETS), secret).when(kind.isin("male", "female"), name)
         .otherwise(_mapped(canon, d))
     )
 
@@ -165,8 +179,14 @@ def _in_form(kind: Column, entity: Column, surrogate: Column) -> Column:
     cased = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(
         F.substring(entity, i + 1, F.lit(1)) == F.lower(F.substring(entity, i + 1, F.lit(1))), c
     ).otherwise(F.upper(c))), "")
+    before = F.regexp_extract(entity, BEFORE, 0)
+    value = F.substring(entity, F.length(before) + 1, F.length(entity))
+    # hexadecimal digits in the case of the secret's letters; of mixed ones each letter as the one in its place
+    placed = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(F.substring(value, i + 1, F.lit(1)).rlike("[A-F]"), F.upper(c)).otherwise(c)), "")
+    hexed = F.when(value == F.lower(value), surrogate).when(value == F.upper(value), F.upper(surrogate)).otherwise(placed)
+    secret = F.concat(before, F.when(kind == "hex_secret", hexed).otherwise(surrogate))
     title = F.concat(F.regexp_extract(entity, r"^[^ ]+ ", 0), surrogate)
-    return F.when(_is_number(kind), filled).when(kind == "email", cased).when(kind.isin("male", "female"), title).otherwise(surrogate)
+    return F.when(_is_number(kind), filled).when(kind == "email", cased).when(kind.isin("male", "female"), title).when(kind.isin(*SECRETS), secret).otherwise(surrogate)
 
 
 def redrawn(listed: DataFrame, key: str) -> DataFrame:
@@ -186,8 +206,11 @@ def redrawn(listed: DataFrame, key: str) -> DataFrame:
 
 
 def _may_hold(text: Column) -> Column:
-    """Whether a text has what every entity has some of; most texts fail this cheap test before the pattern."""
-    test = text.rlike("[0-9@=:]")
+    """Whether a text has what every entity has some of; most texts fail this cheap test before the pattern.
+
+    Only access keys, hexadecimal secrets and names can be without a digit and one of @, = and :.
+    """
+    test = text.rlike("[0-9@=:]|A[KS]IA|[A-Fa-f]{32}")
     for title in TITLES:
         test = test | text.contains(title)
     return test
