@@ -10,7 +10,10 @@ the title; addresses of one domain stay together.
 
 Collision checks: all different entities are listed once (counts combined before their shuffle). A surrogate
 that equals an entity of the corpus, or that of another entity of its kind, is drawn again with the next attempt
-number until none is left. Only the redrawn entities, a small table, are joined back to the documents that hold them.
+number until none is left. From attempt IN_FORM (IN_FORM_NAMES for given names) the form grows by a character or syllable
+an attempt, so entities that fill their form get surrogates too. Words behind a given name are entities of a kind of their own,
+"family", and have one surrogate in all names; only given names are drawn again. Only redrawn entities, a small
+table, are joined back to the documents that hold them.
 
 Defined results: null texts stay null and have no entity, empty ones stay empty; texts of any length are
 searched whole; repeated rows change alike; an empty table gives an empty result; all other columns are passed on as
@@ -51,7 +54,8 @@ GIVEN = {
 CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àâäéèêëíîïóôöúùûüáñçß", "αειουηω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
 #: What names stand behind, as in KINDS.
 TITLES = ("Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr.", "Sra.")
-MAX_ATTEMPTS = 60
+#: Attempts within the form of an entity; later ones extend it.
+IN_FORM, IN_FORM_NAMES = 20, 6
 
 
 #: What stands before the value of a password.
@@ -128,46 +132,59 @@ def _seeds(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     return F.struct(_digest(key, kind, canon, attempt.cast("string")).alias("own"), _digest(key, F.lit("domain"), shared).alias("domain"))
 
 
-def _surrogate(kind: Column, canon: Column, attempt: Column, seeds: Column, key: str) -> Column:
-    """The surrogate of a canonical form, itself in canonical form."""
+def _more(letters: str, attempt: Column, in_form: int = IN_FORM) -> Column:
+    """What extends a form at an attempt, letters to be replaced by others of their class."""
+    return F.repeat(F.lit(letters), F.greatest(F.lit(0), attempt - in_form + 1))
+
+
+def _family(key: str, word: Column, attempt: Column) -> Column:
+    return _mapped(F.concat(word, _more("ba", attempt)), _digest(key, F.lit("family"), word, attempt.cast("string")))
+
+
+def _surrogate(kind: Column, canon: Column, attempt: Column, families: Column, seeds: Column, key: str) -> Column:
+    """The surrogate of a canonical form, itself in canonical form; ``families`` maps family names to their attempts."""
     d, tried = seeds["own"], attempt.cast("string")
-    digits = F.regexp_replace(canon, "[^0-9]", "")
+    original = F.regexp_replace(canon, "[^0-9]", "")
+    digits = F.concat(original, _more("0", attempt))
     drawn = F.array_join(F.transform(F.split(digits, ""), lambda c, i: _pick("0123456789", d, i)), "")
     kept = F.concat(F.substring(digits, 1, 1), F.substring(drawn, F.lit(2), F.length(drawn)))
     stem = F.substring(kept, F.lit(1), F.length(kept) - 1)
     check = F.concat(stem, ((10 - _luhn(F.concat(stem, F.lit("0")))) % 10).cast("string"))
-    card = F.when(_luhn(digits) == 0, check).otherwise(kept)
+    card = F.when(_luhn(original) == 0, check).otherwise(kept)
     phone = F.when(canon.startswith("+"), F.concat(F.lit("+"), kept)).otherwise(drawn)
     octet = lambda c, i: (
         F.when((F.length(c) == 1) & (attempt < 4), 1 + _draw(d, i, 9)).when((F.length(c) == 2) & (attempt < 4), 10 + _draw(d, i, 90))
         .when(attempt < 4, 100 + _draw(d, i, 155)).otherwise(1 + _draw(d, i, 254)).cast("string")
     )
-    ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
+    ip = F.array_join(F.transform(F.split(F.concat(canon, _more(".100", attempt, 2 * IN_FORM)), r"\."), octet), ".")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     place = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(_mapped(local, d), F.lit("@"), _mapped(place, seeds["domain"]), F.lit("."), top)
+    email = F.concat(_mapped(F.concat(local, _more("b", attempt)), d), F.lit("@"), _mapped(place, seeds["domain"]), F.lit("."), top)
     prefix = F.when(kind == "aws_key", F.substring(canon, 1, 4)).otherwise("")
-    rest = F.substring(canon, F.length(prefix) + 1, F.length(canon))
+    rest = F.concat(F.substring(canon, F.length(prefix) + 1, F.length(canon)), _more("b", attempt))
     hexed = F.array_join(F.transform(F.split(rest, ""), lambda c, i: _pick("0123456789abcdef", d, i)), "")
     upper = F.array_join(F.transform(F.split(rest, ""), lambda c, i: _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", d, i)), "")
     secret = F.concat(prefix, F.when(kind == "aws_key", upper).when(kind == "hex_secret", hexed).otherwise(_mapped(rest, d)))
     names = F.split(canon, " ")
-    family = F.transform(names, lambda n: _mapped(n, _digest(key, F.lit("family"), n, tried)))
-    given = [F.get(F.array(*map(F.lit, GIVEN[g])), _draw(_digest(key, F.lit("given"), names[0], tried), F.lit(0), len(GIVEN[g]))) for g in ("male", "female")]
-    full = F.concat_ws(" ", F.when(kind == "male", given[0]).otherwise(given[1]), F.array_join(F.slice(family, F.lit(2), F.size(family)), " "))
+    family = F.transform(names, lambda n: _family(key, n, F.coalesce(F.element_at(families, n), F.lit(0))))
+    seed = _digest(key, F.lit("given"), names[0], tried)
+    given = [F.get(F.array(*map(F.lit, GIVEN[g])), _draw(seed, F.lit(0), len(GIVEN[g]))) for g in ("male", "female")]
+    ending = F.when(attempt >= IN_FORM_NAMES, _mapped(_more("ba", attempt, IN_FORM_NAMES), F.reverse(seed))).otherwise("")
+    given = F.concat(F.when(kind == "male", given[0]).otherwise(given[1]), ending)
+    full = F.concat_ws(" ", given, F.array_join(F.slice(family, F.lit(2), F.size(family)), " "))
     name = F.when(F.size(names) > 1, full).otherwise(family[0])
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", drawn)
         .when(kind == "card", card).when(kind.isin(*SECRETS), secret).when(kind.isin("male", "female"), name)
-        .otherwise(_mapped(canon, d))
+        .when(kind == "family", _family(key, canon, attempt)).otherwise(_mapped(F.concat(canon, _more("b", attempt)), d))
     )
 
 
 def _with_surrogate(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` (kind, canon, attempt) with ``new``; digests are a column of their own, made once per row."""
+    """``rows`` (kind, canon, attempt, families) with ``new``; digests are a column of their own, made once per row."""
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
-    return rows.withColumn("seeds", _seeds(key, kind, canon, attempt)).withColumn("new", _surrogate(kind, canon, attempt, F.col("seeds"), key)).drop("seeds")
+    return rows.withColumn("seeds", _seeds(key, kind, canon, attempt)).withColumn("new", _surrogate(kind, canon, attempt, F.col("families"), F.col("seeds"), key)).drop("seeds")
 
 
 def _in_form(kind: Column, entity: Column, surrogate: Column) -> Column:
@@ -176,6 +193,7 @@ def _in_form(kind: Column, entity: Column, surrogate: Column) -> Column:
     filled = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(
         c.rlike("[0-9]"), F.substring(digits, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))
     ).otherwise(c)), "")
+    filled = F.concat(filled, F.substring(digits, F.length(F.regexp_replace(entity, "[^0-9]", "")) + 1, F.length(digits)))
     cased = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(
         F.substring(entity, i + 1, F.lit(1)) == F.lower(F.substring(entity, i + 1, F.lit(1))), c
     ).otherwise(F.upper(c))), "")
@@ -189,20 +207,41 @@ def _in_form(kind: Column, entity: Column, surrogate: Column) -> Column:
     return F.when(_is_number(kind), filled).when(kind == "email", cased).when(kind.isin("male", "female"), title).when(kind.isin(*SECRETS), secret).otherwise(surrogate)
 
 
-def redrawn(listed: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first surrogates collide, with the attempt that does not."""
+def _words(kind: Column, canon: Column) -> Column:
+    """Family names of a name: the words behind the given one, or a single word."""
+    names = F.split(canon, " ")
+    return F.when(kind.isin("male", "female"), F.when(F.size(names) > 1, F.slice(names, F.lit(2), F.size(names))).otherwise(names))
+
+
+def _drawn_apart(listed: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, attempt, families) of all entities, with attempts whose surrogates do not collide.
+
+    It ends: the surrogates of an extended form grow until all places of a digest count.
+    """
     drawn = stored(_with_surrogate(listed.withColumn("attempt", F.lit(0)), key), "drawn")
     originals = listed.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         # the least attempt and canonical form keeps a surrogate that several drew
         firsts = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("drawn"))
         real = firsts.join(originals, ["kind", "new"], "left").where("drawn > 1 OR real").select("kind", "new", "first", F.coalesce("real", F.lit(False)).alias("real"))
-        bad = stored(drawn.join(real, ["kind", "new"]).where("real OR canon <> first.canon").select("kind", "canon", "attempt"), "collisions")
+        bad = stored(drawn.join(real, ["kind", "new"]).where("real OR canon <> first.canon").select("kind", "canon", "attempt", "families"), "collisions")
         if bad.isEmpty():
-            return drawn.where("attempt > 0").select("kind", "canon", "attempt")
+            return drawn.select("kind", "canon", "attempt", "families")
         again = _with_surrogate(bad.withColumn("attempt", F.col("attempt") + 1), key)
         drawn = stored(drawn.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "drawn")
-    raise RuntimeError("more entities of one form than surrogates of that form")
+
+
+def redrawn(listed: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, attempt, families) of the entities whose first surrogates collide, with attempts that do not.
+
+    ``families`` holds the attempts of those words of a name that were drawn again.
+    """
+    nothing = F.lit(None).cast("map<string,int>").alias("families")
+    words = listed.select(F.explode(_words(F.col("kind"), F.col("canon"))).alias("canon")).distinct().select(F.lit("family").alias("kind"), "canon", nothing)
+    again = stored(_drawn_apart(words, key).where("attempt > 0").select(F.col("canon").alias("word"), F.col("attempt").alias("tried")), "families")
+    named = listed.select("kind", "canon", F.explode(F.array_distinct(_words(F.col("kind"), F.col("canon")))).alias("word")).join(again, "word")
+    named = named.groupBy("kind", "canon").agg(F.map_from_entries(F.collect_list(F.struct("word", "tried"))).alias("families"))
+    return _drawn_apart(listed.join(named, ["kind", "canon"], "left"), key).where("attempt > 0 OR families IS NOT NULL")
 
 
 def _may_hold(text: Column) -> Column:
@@ -228,17 +267,20 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     listed = hits.select(F.explode("found").alias("entity")).groupBy("entity").count().withColumn("kind", _kind(F.col("entity")))
     forms = stored(listed.select("entity", "kind", _canonical(F.col("kind"), F.col("entity")).alias("canon")), "forms")
     later = stored(redrawn(forms.select("kind", "canon").distinct(), key), "redrawn")
-    by_form = later.join(forms, ["kind", "canon"]).select("entity", "attempt")
+    by_form = later.join(forms, ["kind", "canon"]).select("entity", F.struct("attempt", "families").alias("attempt"))
     attempts = hits.select("place", F.explode("found").alias("entity")).distinct().join(by_form, "entity").groupBy("place").agg(
         F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("attempts")
     )
     # each step is an array of its own, so nothing is computed again for every character
-    known = F.transform("found", lambda e: F.struct(e.alias("e"), _kind(e).alias("kind"), F.coalesce(F.element_at(F.col("attempts"), e), F.lit(0)).alias("attempt")))
-    formed = F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), _canonical(x["kind"], x["e"]).alias("canon")))
+    known = F.transform("found", lambda e: F.struct(
+        e.alias("e"), _kind(e).alias("kind"), F.coalesce(F.element_at(F.col("attempts"), e)["attempt"], F.lit(0)).alias("attempt"),
+        F.element_at(F.col("attempts"), e)["families"].alias("families"),
+    ))
+    formed = F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), x["families"].alias("families"), _canonical(x["kind"], x["e"]).alias("canon")))
     seeded = F.transform(formed, lambda x: F.struct(
-        x["e"].alias("e"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), x["canon"].alias("canon"), _seeds(key, x["kind"], x["canon"], x["attempt"]).alias("seeds")
+        x["e"].alias("e"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), x["families"].alias("families"), x["canon"].alias("canon"), _seeds(key, x["kind"], x["canon"], x["attempt"]).alias("seeds")
     ))
-    drawn = F.transform(seeded, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), _surrogate(x["kind"], x["canon"], x["attempt"], x["seeds"], key).alias("new")))
+    drawn = F.transform(seeded, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), _surrogate(x["kind"], x["canon"], x["attempt"], x["families"], x["seeds"], key).alias("new")))
     done = hits.join(attempts, "place", "left").withColumn("new", F.transform(drawn, lambda x: _in_form(x["kind"], x["e"], x["new"])))
     pieces = F.split("text", PATTERN, -1)
     merged = F.array_join(F.zip_with(pieces, "new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")

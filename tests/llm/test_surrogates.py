@@ -42,3 +42,18 @@ def test_cheap_test_lets_every_kind_pass(spark, kind):
     frame = spark.createDataFrame([(s,) for s in samples[kind]], "text string")
     tested = frame.select("text", frame.text.rlike(pii.KINDS[kind]), pii._may_hold(frame.text)).collect()
     assert all(fits and may for _, fits, may in tested), tested
+
+
+def test_forms_with_more_entities_than_surrogates(spark):
+    """1,200 given names before one family name, all passwords of a form, many one-letter addresses and short families."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    given = [f"{a.upper()}{b}{c}" for a in letters for b in letters[:7] for c in letters[:7]][:1_200]
+    families = [f"{a.upper()}{b}" for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    texts = [f"Mr {g} Smith" for g in given] + ["Mr Smith", "Herr Smith", "Mrs Eve Smith"] + [f"Frau {f}" for f in families]
+    texts += [f"pwd={k:04d}" for k in range(10_000)] + [f"{a}@one.org" for a in letters] + [f"{a}@two.org" for a in letters]
+    got = replaced(spark, texts)
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    names = [re.fullmatch(r"Mr ([A-Z][a-z]+) (\w+)", t) for t in got[:1_200]]
+    assert {n[2] for n in names} == {got[1_200].split()[1]} == {got[1_201].split()[1]} == {got[1_202].split()[2]}
+    assert all(n[1].startswith(tuple(pii.GIVEN["male"])) for n in names) and got[1_202].split()[1].startswith(tuple(pii.GIVEN["female"]))
+    assert all(re.fullmatch(r"pwd=\w{4,}", t) for t in got if t.startswith("pwd"))
