@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.session import scratch_folder
@@ -62,3 +62,33 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     by_hot = rows.join(F.broadcast(groups.where(hot)), key, "left")
     by_key = by_hot.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(~hot), key)
     return by_hot.where(F.col(size).isNotNull()).unionByName(by_key)
+
+
+def in_order(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` stored in the order of ``keys`` (nulls first), numbered from 0 in ``at``.
+
+    Rows are dealt by ranges of all keys, so a group that holds most rows is sorted by many tasks as long as its
+    rows differ in a later key. Each range starts where the ones before it end (one count per range). ``rows`` are
+    read twice, first for the range bounds.
+    """
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    kept = stored(ranged, name)
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = kept.groupBy(part.alias("_part")).agg((F.max(inside) + 1).alias("_n"))
+    # one row per shuffle partition reaches this window and the broadcast
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return kept.withColumn("_part", part).join(starts, "_part").withColumn("at", F.col("_start") + inside).drop("_at", "_part", "_start")
+
+
+def crc32_of(text: Column) -> Column:
+    """Unsigned CRC-32 of the UTF-8 bytes; null for null."""
+    return F.crc32(F.encode(text, "UTF-8"))
+
+
+def crc32_sql(ascii_text: str) -> str:
+    """DuckDB has no CRC-32: an expression over the letters of an ASCII text, eight shifts each."""
+    shift = "lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce(list_prepend(xor(c, b), [0::BIGINT for i in range(8)]), {shift})"
+    letters = f"[ascii(z)::BIGINT for z in string_split({ascii_text}, '')]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {letters}), lambda c, b: {byte}), 4294967295)"

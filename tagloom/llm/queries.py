@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagloom.llm import bpe, exact, extraction, language_model, licences, packing, pii, quality, simhash, toxicity
-from tagloom.llm.common import table
+from tagloom.llm import bpe, exact, extraction, language_model, licences, manifest, packing, pii, quality, simhash, toxicity
+from tagloom.llm.common import crc32_of, crc32_sql, table
 
 #: A-Z and a-z, for the fold in SQL.
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,6 +77,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(crc32_of(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -92,9 +97,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_html_extraction": op10_html_extraction,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Recursive SQL for all levels (lvl, tree, pos, hash, n) above ``leaves`` (tree, pos, hash, n)."""
+    return f"""
+        {name} AS (
+            SELECT 0 AS lvl, tree, pos, hash, n FROM {leaves}
+            UNION ALL
+            SELECT lvl + 1, tree, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)), (n + 7) // 8
+            FROM {name} WHERE n > 1 GROUP BY lvl, tree, pos // 8, n)"""
+
+
+def _steps(name: str, levels: str) -> str:
+    """What stands left and right of every node of ``levels`` in its run."""
+    return f"""
+        {name} AS (
+            SELECT lvl, tree, pos, coalesce(string_agg(hash, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(hash, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM {levels} WHERE n > 1 WINDOW w AS (PARTITION BY lvl, tree, pos // 8 ORDER BY pos))"""
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_MERKLE = f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, sha256({_LEAF} || {_field("text")}) AS leaf,
+               CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN sha256({_LEAF} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")})
+               ELSE sha256({_LEAF} || {_field("text")}) END AS seen
+        FROM documents),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS hash, count(*) OVER (PARTITION BY tree) AS n
+        FROM leaves),
+    {_tree("low", "placed")},
+    subroots AS (SELECT 0 AS tree, tree AS pos, hash, count(*) OVER () AS n FROM low WHERE n = 1),
+    {_tree("high", "subroots")},
+    {_steps("low_steps", "low")},
+    {_steps("high_steps", "high")},
+    steps AS (
+        SELECT p.doc_id, p.tree, p.pos, s.lvl, s.l, s.r FROM placed p JOIN low_steps s ON s.tree = p.tree AND s.pos = p.pos // (8 ** s.lvl)::BIGINT
+        UNION ALL
+        SELECT p.doc_id, p.tree, p.pos, 100 + s.lvl, s.l, s.r FROM placed p JOIN high_steps s ON s.pos = p.tree // (8 ** s.lvl)::BIGINT),
+    proofs AS (SELECT tree, pos, list({{'l': l, 'r': r}} ORDER BY lvl) AS path FROM steps GROUP BY tree, pos),
+    folding AS (
+        SELECT p.tree, p.pos, 0 AS k, p.seen AS node, coalesce(f.path, []) AS path FROM placed p LEFT JOIN proofs f USING (tree, pos)
+        UNION ALL
+        SELECT tree, pos, k + 1, sha256(path[k + 1].l || node || path[k + 1].r), path FROM folding WHERE k < len(path))
+    SELECT p.doc_id, p.leaf, s.hash AS subroot, t.hash AS root, sha256(list_aggregate(list_transform(f.path, lambda x: x.l || x.r), 'string_agg', '')) AS proof_sha256,
+           f.node AS folded_root, f.node = t.hash AS verified
+    FROM placed p JOIN folding f ON f.tree = p.tree AND f.pos = p.pos AND f.k = len(f.path)
+    JOIN subroots s ON s.pos = p.tree JOIN high t ON t.n = 1
+"""
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_FOLD}) AS text_sha256 FROM documents)
@@ -102,4 +161,5 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op13_merkle_manifest": _MERKLE,
 }
