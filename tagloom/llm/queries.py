@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagloom.llm import bpe, exact, extraction, language_model, licences, manifest, packing, pii, quality, simhash, toxicity
+from tagloom.llm import bpe, exact, extraction, language_model, licences, manifest, packing, pii, quality, simhash, token_files, toxicity
 from tagloom.llm.common import crc32_of, crc32_sql, table
 
 #: A-Z and a-z, for the fold in SQL.
@@ -77,6 +77,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = token_files.build(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_documents(spark, folder, docs.schema["doc_id"].dataType.simpleString())
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(crc32_of(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
     return manifest.manifest(table(spark, sf_dir, "documents"), tampered)
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_files": op11_token_files,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
