@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagloom.llm import bpe, exact, extraction, language_model, licences, manifest, packing, pii, quality, simhash, token_files, toxicity
+from tagloom.llm import bpe, conversations, exact, extraction, language_model, licences, manifest, packing, pii, quality, simhash, token_files, toxicity
 from tagloom.llm.common import crc32_of, crc32_sql, table
 
 #: A-Z and a-z, for the fold in SQL.
@@ -83,6 +83,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder, docs.schema["doc_id"].dataType.simpleString())
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(crc32_of(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
     return manifest.manifest(table(spark, sf_dir, "documents"), tampered)
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_html_extraction": op10_html_extraction,
     "op11_token_files": op11_token_files,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
@@ -161,6 +166,73 @@ _MERKLE = f"""
     JOIN subroots s ON s.pos = p.tree JOIN high t ON t.n = 1
 """
 
+def _edit(stack: str, letter: str, cost: str, turn: str = "''", when: str = "true") -> str:
+    """A live stack {c: cost, a: audit, t: text} after an edit; null where it cannot be made."""
+    return f"CASE WHEN {stack} IS NOT NULL AND {when} THEN {{'c': {stack}.c + {cost}, 'a': {stack}.a || '{letter}', 't': {stack}.t || {turn}}} END"
+
+
+def _least(*stacks: str) -> str:
+    return f"list_min(list_filter([{', '.join(stacks)}], lambda x: x IS NOT NULL))"
+
+
+# the four states of the role grammar: nothing yet (z), after s, after u, after a
+_TURN, _STAYS = "chr(10) || r.role || ':' || r.text", "NOT r.must_go"
+_GIVEN = {name: f"chr(10) || '{name}:' || r.text" for name in ("user", "assistant")}
+_INSERTED = {name: f"chr(10) || '{name}:'" for name in ("user", "assistant")}
+_KEPT_U, _KEPT_A = f"{_STAYS} AND r.letter = 'u'", f"{_STAYS} AND r.letter = 'a'"
+_STEP = {
+    "z": _edit("p.z", "D", "3"),
+    "s": _least(_edit("p.s", "D", "3"), _edit("p.z", "K", "r.more", _TURN, f"{_STAYS} AND r.letter = 's'")),
+    "u": _least(
+        _edit("p.u", "D", "3"), *[_edit(f"p.{x}", "K", "r.more", _TURN, _KEPT_U) for x in "zsa"],
+        *[_edit(f"p.{x}", "R", "2 + r.more", _GIVEN["user"], _STAYS) for x in "zsa"],
+    ),
+    "a": _least(_edit("p.a", "D", "3"), _edit("p.u", "K", "r.more", _TURN, _KEPT_A), _edit("p.u", "R", "2 + r.more", _GIVEN["assistant"], _STAYS)),
+}
+_REPAIR = f"""
+    WITH RECURSIVE raw AS (
+        SELECT conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code
+        FROM conversations),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM raw WHERE code <> 0),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k,
+               rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+        FROM damaged),
+    marked AS (
+        SELECT *, left(role, 1) AS letter,
+               CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                    WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+               lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before
+        FROM placed),
+    ready AS (SELECT *, fault IN ('blank', 'duplicate') AS must_go, (fault = 'truncated')::BIGINT AS more FROM marked),
+    stepped AS (
+        SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS z, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s,
+               {{'c': 2::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}} AS u, {{'c': 4::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS a
+        FROM (SELECT DISTINCT conv_id FROM conversations)
+        UNION ALL
+        SELECT conv_id, k, z, s, u, {_least("a", _edit("u", "I", "2", _INSERTED["assistant"]))}
+        FROM (
+            SELECT conv_id, k, z, s, {_least("u", *[_edit(x, "I", "2", _INSERTED["user"]) for x in "zsa"])} AS u, a
+            FROM (
+                SELECT r.conv_id, r.k, {_STEP["z"]} AS z, {_STEP["s"]} AS s, {_STEP["u"]} AS u, {_STEP["a"]} AS a
+                FROM stepped p JOIN ready r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.k = p.k + 1))),
+    ended AS (
+        SELECT conv_id, arg_max(coalesce({_least("z", "a")}, z), k) AS won FROM stepped GROUP BY conv_id),
+    counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM ready GROUP BY conv_id)
+    SELECT e.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+           coalesce(c.illegal, 0) AS illegal, e.won.c AS cost, e.won.a AS audit, sha256(substr(e.won.t, 2)) AS repaired_sha256
+    FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_FOLD}) AS text_sha256 FROM documents)
@@ -168,5 +240,6 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op12_conversation_repair": _REPAIR,
     "op13_merkle_manifest": _MERKLE,
 }
