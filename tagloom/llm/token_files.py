@@ -1,23 +1,22 @@
 """Token ids of a corpus as Arrow files of equal-length sequences, open to random access without copying.
 
-The ids of all documents, in ascending order of their ids and each closed by an end id, form one long row of
-tokens. It is cut into sequences of equal length; a file holds a fixed number of them:
+Documents are dealt by ranges of their ids to parts, and each part is sorted. A task takes the documents of its part
+as they come, tokenises them (see :class:`Encoder`), closes each with an end id, and writes the ids one after
+another as sequences of equal length:
 
-- ``tokens-<k>.arrow`` (Arrow IPC file): ``ids`` and ``mask``, both fixed-size lists, in batches of BATCH sequences.
-  The mask is 1 for a token and 0 for the filling of the very last sequence. Sequence s is in file
-  s // per_file at a place that follows from s alone, so a reader maps the file and takes a view.
-- ``documents-<k>.arrow``: doc_id, start, n_tokens of the documents that begin in file k, in order.
-- ``manifest``: a Parquet table with a row per file.
+- ``tokens-<part>-<k>.arrow`` (Arrow IPC file): ``ids`` and ``mask``, both fixed-size lists, in batches of BATCH
+  sequences. Token t of a part is in file t // (length * per_file) at a place that follows from t alone, so a reader
+  maps the file and takes a view. The mask is 1 for a token and 0 for the filling of a part's last sequence.
+- ``documents-<part>-<k>.arrow``: doc_id, start (in the part) and n_tokens of the documents that begin in that file.
+- ``manifest``: a Parquet table with a row per file; what lies before a part is the sum over the parts before it.
 
-Steps: tasks tokenise (see :class:`Encoder`) and store ids; rows are sorted by ranges of the document id with
-running sums per range, which gives every document its start; each document is cut where files end, the pieces
-are shuffled by file, and a task writes its files one batch after another (memory: one batch). A file has a
-bounded number of tokens, so neither a long document nor a hot id makes a large group. Files are written under
-another name and moved into place whole; a repeated task writes the same bytes.
+Texts are shuffled once and tokenised once. A task holds one batch of sequences, however many documents its part has
+and however long they are, and parts are cut into files of bounded size; rows of one id are dealt by further keys.
+Files are written under another name and moved into place whole; a repeated task writes the same bytes.
 
 Defined results: null and empty texts have the end id alone; texts of any length are encoded whole and may
-span sequences and files; rows without an id come first, equal ids are ordered by length and checksum, repeated
-rows are written each; an empty table gives no file and no row; other columns are not read.
+span sequences and files; rows without an id come first, equal ids are ordered by the length and hash of their texts,
+repeated rows are written each; an empty table gives no file and no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,7 +49,7 @@ class Encoder:
     """Ids by the tokenizers library, each different word of a slice once.
 
     Words are what stands between ASCII white space. A tokenizer file whose rules drop white space and look at no
-    character beyond it gives a text the ids of its words, one after another; :meth:`check` tests the rules.
+    character beyond it gives a text the ids of its words, one after another; :meth:`check` tests that, and that letters are folded.
     """
 
     def __init__(self, definition: str):
@@ -66,6 +65,8 @@ class Encoder:
 
             self.library = Tokenizer.from_str(self.definition)
             self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+            marks = [self.library.encode(m, add_special_tokens=False).ids for m in ".,"]
+            self.marks = np.array([m[0] for m in marks], dtype=self.kind)
             self.memory: dict[str, bytes] = {}
             self.older: dict[str, bytes] = {}
             self.check()
@@ -75,39 +76,64 @@ class Encoder:
         probe = "It's  a\ttest,\n42 words' ends\r\n<|x|> été é ...\x0b9th \x0c"
         words = [w for w in pc.ascii_split_whitespace(pa.array([probe]))[0].as_py() if w]
         apart = [i for e in self.library.encode_batch(words, add_special_tokens=False) for i in e.ids]
-        if self.library.encode(probe, add_special_tokens=False).ids != apart:
+        folded = self.library.encode(probe.lower(), add_special_tokens=False).ids
+        one_each = all(len(self.library.encode(m, add_special_tokens=False).ids) == 1 for m in ".,")
+        if self.library.encode(probe, add_special_tokens=False).ids != apart or apart != folded or not one_each:
             raise ValueError("this tokenizer keeps white space: texts cannot be encoded word by word")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.library.encode(words, add_special_tokens=False, is_pretokenized=True)
-        ids = np.array(found.ids, dtype=self.kind)
-        sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
-        ends = np.cumsum(sizes) * self.kind.itemsize
-        flat, starts = ids.tobytes(), (ends - sizes * self.kind.itemsize).tolist()
-        return {w: flat[a:b] for w, a, b in zip(words, starts, ends.tolist(), strict=True)}
+    def _learn(self, words: list[str]) -> list[bytes]:
+        encoded = self.library.encode(words, add_special_tokens=False, is_pretokenized=True)
+        ids = np.array(encoded.ids, dtype=self.kind).tobytes()
+        ends = np.searchsorted(np.array(encoded.word_ids, dtype=np.int64), np.arange(1, len(words) + 1)) * self.kind.itemsize
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
-        recent, older = self.memory.get, self.older.get
-        found = [recent(w) or older(w) for w in words]
-        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        fresh: dict[str, bytes] = {}
-        for a in range(0, len(missing), 50_000):
-            fresh |= self._learn(missing[a : a + 50_000])
-        out = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        found = list(map(self.memory.get, words))
+        unknown = [k for k, ids in enumerate(found) if ids is None]
         if len(self.memory) >= REMEMBERED // 2:  # what was asked for lately stays a generation longer
             self.older, self.memory = self.memory, {}
-        self.memory.update((w, ids) for w, ids in zip(words, out, strict=True) if len(w) <= LONG_WORD)
-        return out
+        missing = []
+        for k in unknown:
+            found[k] = self.older.get(words[k])
+            if found[k] is None:
+                missing.append(k)
+        for a in range(0, len(missing), 20_000):
+            part = missing[a : a + 20_000]
+            for k, ids in zip(part, self._learn([words[k] for k in part]), strict=True):
+                found[k] = ids
+        self.memory.update((words[k], found[k]) for k in unknown if len(words[k]) <= LONG_WORD)
+        return found
+
+    def _stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Different words to fewer ones with the same ids, and which of them end in a full stop or comma.
+
+        The library folds A-Z itself; in words of ASCII without an added token it can be done before. After a letter
+        or digit of ASCII a closing mark is a piece of its own.
+        """
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        closed = pc.match_substring_regex(words, "[A-Za-z0-9][.,]$")
+        stems = pc.if_else(closed, pc.utf8_slice_codeunits(words, 0, -1), words)
+        full = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
+        return stems.dictionary_encode(), np.where(closed.to_numpy(zero_copy_only=False), np.where(full, 0, 1), -1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and the number of ids of each."""
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        found = self._ids_of(words.dictionary.to_pylist())
+        stems, mark = self._stems(words.dictionary)
+        found = [*self._ids_of(stems.dictionary.to_pylist()), b""]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.kind.itemsize
         flat, codes = np.frombuffer(b"".join(found), dtype=self.kind), words.indices.to_numpy()
-        ids = flat[spread((np.cumsum(sizes) - sizes)[codes], sizes[codes])]
-        ends = np.r_[0, np.cumsum(sizes[codes])]
+        stem_of = stems.indices.to_numpy()[codes] if len(codes) else codes
+        tail = mark[codes]
+        n = sizes[stem_of]
+        whole = n + (tail >= 0)
+        ends = np.r_[0, np.cumsum(whole)]
+        ids = np.empty(int(ends[-1]), dtype=self.kind)
+        at = spread(ends[:-1], n)
+        ids[at] = flat[spread((np.cumsum(sizes) - sizes)[stem_of], n)]
+        ids[ends[1:][tail >= 0] - 1] = self.marks[tail[tail >= 0]]
         offsets = np.asarray(lists.offsets)
         return ids, np.diff(ends[offsets - offsets[0]])
 
@@ -124,53 +150,6 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, p
             a = b
 
 
-def encode(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, ids (binary, little-endian, two or four bytes each), ids_crc32 (of four bytes each).
-
-    The end id is the last one.
-    """
-    with open(tokenizer_file, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(Encoder(f.read()))
-    kind = docs.schema[id_col].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value.ready()
-        end = np.array([end_id], dtype=encoder.kind)
-        for keys, texts in text_slices(batches):
-            ids, sizes = encoder.encode(texts)
-            stops = np.cumsum(sizes)
-            closed = [np.concatenate([ids[b - n : b], end]) for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                keys, pa.array(sizes + 1, pa.int64()), pa.array([x.tobytes() for x in closed], pa.binary()),
-                pa.array([zlib.crc32(x.astype("<u4")) for x in closed], pa.int64()), pa.array(np.full(len(keys), encoder.kind.itemsize, np.int32)),
-            ], ["doc_id", "n_tokens", "ids", "ids_crc32", "width"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens bigint, ids binary, ids_crc32 bigint, width int")
-
-
-def starts(coded: DataFrame) -> DataFrame:
-    """``coded`` stored in ascending doc_id order with ``start``, the number of ids of all documents before."""
-    coded = stored(coded, "coded").withColumn("row", F.monotonically_increasing_id())
-    keys = ["doc_id", "n_tokens", "ids_crc32", "row"]
-    ranged = coded.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
-    kind = coded.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in batches:
-            ends = total + np.cumsum(batch.column("n_tokens").to_numpy())
-            before = ends - batch.column("n_tokens").to_numpy()
-            total = int(ends[-1]) if len(ends) else total
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], [*batch.schema.names, "before"])
-
-    ranged = ranged.select("doc_id", "n_tokens", "ids", "width", "part")
-    summed = stored(ranged.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, width int, part int, before bigint"), "ordered")
-    sizes = summed.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
-    # one row per shuffle partition reaches this window and the broadcast
-    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return summed.join(F.broadcast(sizes.select("part", ahead.alias("ahead"))), "part").withColumn("start", F.col("ahead") + F.col("before")).drop("part", "ahead", "before")
-
-
 def place(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path within; local paths may come with or without ``file:``."""
     if path.startswith("file:"):
@@ -194,35 +173,47 @@ class _Output:
         self.files.move(self.part, self.path)
 
 
-class _FileWriter:
-    """One pair of files; tokens arrive in order."""
+class _PartWriter:
+    """The files of one part; tokens arrive in order."""
 
-    def __init__(self, folder: str, number: int, kind: np.dtype, id_kind: pa.DataType, fill: int, length: int, per_batch: int):
+    def __init__(self, folder: str, part: int, kind: np.dtype, id_kind: pa.DataType, fill: int, shape: tuple[int, int, int]):
+        self.folder, self.part, self.kind, self.fill = folder, part, kind, fill
+        self.length, per_file, per_batch = shape
+        self.per_file = self.length * per_file
         token = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(token, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(token, self.length)), ("mask", pa.list_(pa.uint8(), self.length))])
         self.index_schema = pa.schema([("doc_id", id_kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        self.number, self.length, self.fill = number, length, fill
-        self.tokens = _Output(f"{folder}/tokens-{number}.arrow", self.schema)
-        self.index = _Output(f"{folder}/documents-{number}.arrow", self.index_schema)
-        self.buffer, self.used, self.n_tokens = np.empty(per_batch * length, dtype=kind), 0, 0
+        self.buffer, self.used, self.n_tokens = np.empty(per_batch * self.length, dtype=kind), 0, 0
         self.rows: tuple[list, list, list] = ([], [], [])
+        self.tokens = self.index = None
         self.n_documents = 0
+        #: (part, k, n_tokens, n_documents) of the closed files
+        self.closed: list[tuple[int, int, int, int]] = []
 
-    def add(self, ids: np.ndarray) -> None:
-        self.n_tokens += len(ids)
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        """A document with its end id."""
+        self._open()
+        for column, value in zip(self.rows, (doc_id, self.n_tokens, len(ids)), strict=True):
+            column.append(value)
+        self.n_documents += 1
+        if len(self.rows[0]) >= INDEX_ROWS:
+            self._flush_index()
         while len(ids):
+            self._open()
             n = min(len(ids), len(self.buffer) - self.used)
             self.buffer[self.used : self.used + n] = ids[:n]
-            self.used, ids = self.used + n, ids[n:]
+            self.used, self.n_tokens, ids = self.used + n, self.n_tokens + n, ids[n:]
             if self.used == len(self.buffer):
                 self._flush()
+                if self.n_tokens % self.per_file == 0:
+                    self.close()
 
-    def document(self, doc_id, start: int, n_tokens: int) -> None:
-        for column, value in zip(self.rows, (doc_id, start, n_tokens), strict=True):
-            column.append(value)
-        self.n_documents += 1
-        if len(self.rows[0]) >= INDEX_ROWS:
-            self._flush_index()
+    def _open(self) -> None:
+        if self.tokens is None:
+            name = f"{self.part}-{self.n_tokens // self.per_file}.arrow"
+            self.tokens = _Output(f"{self.folder}/tokens-{name}", self.schema)
+            self.index = _Output(f"{self.folder}/documents-{name}", self.index_schema)
+            self.n_documents = 0
 
     def _flush(self) -> None:
         if not self.used:
@@ -231,7 +222,7 @@ class _FileWriter:
         self.buffer[self.used : n] = self.fill
         mask = np.zeros(n, dtype=np.uint8)
         mask[: self.used] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.buffer[:n].copy(), mask)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.buffer[:n], mask)]
         self.tokens.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.used = 0
 
@@ -241,75 +232,73 @@ class _FileWriter:
             self.index.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.index_schema))
             self.rows = ([], [], [])
 
-    def close(self) -> tuple[int, int, int]:
-        self._flush()
-        self._flush_index()
-        self.tokens.close()
-        self.index.close()
-        return self.number, self.n_tokens, self.n_documents
+    def close(self) -> None:
+        if self.tokens is not None:
+            self._flush()
+            self._flush_index()
+            self.tokens.close()
+            self.index.close()
+            self.tokens = None
+            k = (self.n_tokens - 1) // self.per_file
+            self.closed.append((self.part, k, self.n_tokens - k * self.per_file, self.n_documents))
+
 
+MANIFEST = "part bigint, k bigint, n_tokens bigint, n_documents bigint"
 
-def write(placed: DataFrame, folder: str, fill: int, length: int = LENGTH, per_file: int = PER_FILE, per_batch: int = BATCH) -> DataFrame:
-    """Write the files of ``placed`` (doc_id, n_tokens, ids, width, start) below ``folder``; returns the stored manifest.
 
-    The manifest has a row per file: file, n_tokens, n_documents, length, per_file, per_batch.
+def write(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_file: int = PER_FILE, per_batch: int = BATCH) -> DataFrame:
+    """Write the files of ``docs`` below ``folder``; returns the manifest.
+
+    The manifest has a row per file: part, k, n_tokens, n_documents, length, per_file, per_batch, and ahead, the number of
+    tokens in the parts before.
     """
     if per_file % per_batch:
         raise ValueError("a file holds whole batches")
-    size, id_kind = length * per_file, to_arrow_type(placed.schema["doc_id"].dataType)
-    spark_kind = placed.schema["doc_id"].dataType.simpleString()
+    spark = docs.sparkSession
+    with open(tokenizer_file, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(Encoder(f.read()))
+    id_kind = to_arrow_type(docs.schema[id_col].dataType)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts_, counts, widths = (batch.column(c).to_pylist() for c in ("start", "n_tokens", "width"))
-            rows: list[tuple] = []
-            for k, (start, n, width) in enumerate(zip(starts_, counts, widths, strict=True)):
-                at = start
-                while at < start + n:
-                    stop = min(start + n, (at // size + 1) * size)
-                    rows.append((k, at // size, at, (at - start) * width, (stop - start) * width))
-                    at = stop
-            which = pa.array([r[0] for r in rows], pa.int64())
-            ids = batch.column("ids")
-            pieces = [ids[k].as_buffer().slice(a, b - a) for k, _, _, a, b in rows]
-            kept = [batch.column(c).take(which) for c in ("doc_id", "n_tokens", "start", "width")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2)], pa.array([p.to_pybytes() for p in pieces], pa.binary())],
-                ["doc_id", "n_tokens", "start", "width", "file", "at", "piece"],
-            )
-
-    def fill_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, out = [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared.value.ready()
+        end, out = np.array([end_id], dtype=encoder.kind), None
         for batch in batches:
-            numbers, ats, begins, counts, widths, keys = (batch.column(c).to_pylist() for c in ("file", "at", "start", "n_tokens", "width", "doc_id"))
-            pieces = batch.column("piece")
-            for k, number in enumerate(numbers):
-                kind = np.dtype(f"<u{widths[k]}")
-                if out is None or out.number != number:
-                    done += [out.close()] if out else []
-                    out = _FileWriter(folder, number, kind, id_kind, fill, length, per_batch)
-                if ats[k] == begins[k]:
-                    out.document(keys[k], begins[k], counts[k])
-                out.add(np.frombuffer(pieces[k].as_buffer(), dtype=kind))
-        done += [out.close()] if out else []
-        columns = list(zip(*done, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["file", "n_tokens", "n_documents"])
-
-    pieces = placed.select("doc_id", "n_tokens", "start", "width", "ids").mapInArrow(
-        cut, f"doc_id {spark_kind}, n_tokens bigint, start bigint, width int, file bigint, at bigint, piece binary"
+            if len(batch):
+                part = batch.column("part")[0].as_py()
+                out = out or _PartWriter(folder, part, encoder.kind, id_kind, end_id, (length, per_file, per_batch))
+            for keys, texts in text_slices([batch]):
+                ids, sizes = encoder.encode(texts)
+                stops = np.cumsum(sizes)
+                for key, n, stop in zip(keys.to_pylist(), sizes.tolist(), stops.tolist(), strict=True):
+                    out.add(key, np.concatenate([ids[stop - n : stop], end]))
+        if out:
+            out.close()
+        columns = list(zip(*out.closed, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "k", "n_tokens", "n_documents"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = ["doc_id", "size", "hash", "row"]
+    keyed = docs.select(
+        F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("hash"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    written = pieces.repartition("file").sortWithinPartitions("file", "at").mapInArrow(fill_files, "file bigint, n_tokens bigint, n_documents bigint")
+    ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    files = stored(ranged.mapInArrow(run, MANIFEST), "files")
+    # one row per shuffle partition reaches this window and the broadcast
+    sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    manifest = files.join(F.broadcast(sizes.select("part", ahead.alias("ahead"))), "part")
     shape = {"length": length, "per_file": per_file, "per_batch": per_batch}
-    manifest = written.withColumns({k: F.lit(v) for k, v in shape.items()})
+    manifest = manifest.withColumns({name: F.lit(value) for name, value in shape.items()})
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return manifest.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 class TokenFiles:
-    """Random access to written sequences: local files are mapped, views are returned, nothing is copied."""
+    """Random access to the tokens of one part: local files are mapped, views are returned, nothing is copied."""
 
-    def __init__(self, folder: str, length: int = LENGTH, per_file: int = PER_FILE, per_batch: int = BATCH):
-        self.folder, self.length, self.per_file, self.per_batch = folder, length, per_file, per_batch
+    def __init__(self, folder: str, part: int, length: int = LENGTH, per_file: int = PER_FILE, per_batch: int = BATCH):
+        self.folder, self.part, self.length, self.per_file, self.per_batch = folder, part, length, per_file, per_batch
         self._file = self._batch = None
 
     def _open(self, name: str) -> pa.ipc.RecordBatchFileReader:
@@ -321,7 +310,7 @@ class TokenFiles:
         """Flat ids and mask of the batch that holds ``sequence``, and its first sequence."""
         file, inside = divmod(sequence, self.per_file)
         if self._file is None or self._file[0] != file:
-            self._file, self._batch = (file, self._open(f"tokens-{file}.arrow")), None
+            self._file, self._batch = (file, self._open(f"tokens-{self.part}-{file}.arrow")), None
         number = inside // self.per_batch
         if self._batch is None or self._batch[0] != number:
             columns = self._file[1].get_batch(number).columns
@@ -335,7 +324,7 @@ class TokenFiles:
         return ids[a : a + self.length], mask[a : a + self.length]
 
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
-        """``n`` ids from place ``start`` of the whole row of tokens, a batch at a time."""
+        """``n`` ids from place ``start`` of the part, a batch at a time."""
         while n > 0:
             ids, mask, first = self.batch(start // self.length)
             a = start - first * self.length
@@ -347,33 +336,37 @@ class TokenFiles:
 
     def documents(self, file: int) -> Iterator[pa.RecordBatch]:
         """(doc_id, start, n_tokens) of the documents that begin in a file."""
-        reader = self._open(f"documents-{file}.arrow")
+        reader = self._open(f"documents-{self.part}-{file}.arrow")
         for k in range(reader.num_record_batches):
             yield reader.get_batch(k)
 
 
 def read_documents(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
+    names = ["part", "k", "ahead", "length", "per_file", "per_batch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, length, per_file, per_batch in zip(*[batch.column(c).to_pylist() for c in ("file", "length", "per_file", "per_batch")], strict=True):
-                files = TokenFiles(folder, length, per_file, per_batch)
-                for rows in files.documents(file):
+            for part, k, ahead, *shape in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                files = TokenFiles(folder, part, *shape)
+                for rows in files.documents(k):
                     sums = []
                     for start, n in zip(rows.column("start").to_pylist(), rows.column("n_tokens").to_pylist(), strict=True):
                         crc = 0
                         for ids in files.tokens(start, n):
                             crc = zlib.crc32(ids.astype("<u4"), crc)
                         sums.append(crc)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("doc_id"), pc.add(rows.column("start"), ahead), rows.column("n_tokens"), pa.array(sums, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
-    manifest = spark.read.parquet(f"{folder}/manifest").select("file", "length", "per_file", "per_batch")
-    return manifest.repartition("file").mapInArrow(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    manifest = spark.read.parquet(f"{folder}/manifest").select(*names)
+    return manifest.repartition("part", "k").mapInArrow(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def build(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | None = None, **shape: int) -> str:
-    """Encode, order and write ``docs``; returns the folder (a new one below the shared scratch folder by default)."""
+    """Write ``docs``; returns the folder (a new one below the shared scratch folder by default)."""
     folder = folder or scratch_folder(docs.sparkSession, "token_files")
-    write(starts(encode(docs, tokenizer_file, end_id)), folder, end_id, **shape)
+    write(docs, tokenizer_file, end_id, folder, **shape)
     return folder

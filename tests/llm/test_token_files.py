@@ -23,10 +23,10 @@ def expected(library, rows):
     coded = []
     for r in rows:
         ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, END], dtype="<u4")
-        coded.append((r["doc_id"], len(ids), zlib.crc32(ids), ids))
-    coded.sort(key=lambda c: (c[0] is not None, c[0] or 0, c[1], c[2]))
+        coded.append((r["doc_id"], len(ids), zlib.crc32(ids), ids, len((r["text"] or "").encode())))
+    coded.sort(key=lambda c: (c[0] is not None, c[0] or 0, c[4]))
     out, start = [], 0
-    for doc_id, n, crc, _ in coded:
+    for doc_id, n, crc, *_ in coded:
         out.append((doc_id, start, n, crc))
         start += n
     return out, np.concatenate([c[3] for c in coded]) if coded else np.empty(0, "<u4")
@@ -35,22 +35,27 @@ def expected(library, rows):
 def test_files_hold_what_the_library_gives(spark, docs, library, tmp_path):
     rows, ids = expected(library, docs.collect())
     shape = {"length": 64, "per_file": 32, "per_batch": 8}  # long texts span files
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     folder = token_files.build(docs, FILE, END, str(tmp_path), **shape)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = [tuple(r) for r in token_files.read_documents(spark, folder).orderBy("start").collect()]
     assert got == rows and max(r[2] for r in rows) > 2 * 64 * 32
-    files = token_files.TokenFiles(folder, **shape)
-    n = -(-len(ids) // 64)
-    for s in (0, 1, 31, 32, n // 2, n - 1):
-        piece, mask = files.sequence(s)
-        own = ids[64 * s : 64 * (s + 1)]
-        assert len(piece) == 64 and mask.sum() == len(own) and np.array_equal(piece[mask == 1], own)
-    before = pa.total_allocated_bytes()
-    views = [files.sequence(s)[0] for s in range(n)]
-    assert pa.total_allocated_bytes() - before < 4_096 and not views[0].flags.owndata  # mapped, not read
-    manifest = spark.read.parquet(f"{folder}/manifest").collect()
+    manifest = spark.read.parquet(f"{folder}/manifest").orderBy("part", "k").collect()
     assert sum(r["n_tokens"] for r in manifest) == len(ids) and sum(r["n_documents"] for r in manifest) == len(rows)
-    with pytest.raises(ValueError):
-        list(files.tokens(len(ids) - 1, 2))
+    assert max(r["k"] for r in manifest) > 1 and len({r["part"] for r in manifest}) > 1
+    before = pa.total_allocated_bytes()
+    for part in {r["part"] for r in manifest}:
+        ahead = next(r["ahead"] for r in manifest if r["part"] == part)
+        n = sum(r["n_tokens"] for r in manifest if r["part"] == part)
+        own, files = ids[ahead : ahead + n], token_files.TokenFiles(folder, part, **shape)
+        for s in range(-(-n // 64)):
+            piece, mask = files.sequence(s)
+            want = own[64 * s : 64 * (s + 1)]
+            assert len(piece) == 64 and mask.sum() == len(want) and np.array_equal(piece[mask == 1], want)
+            assert not piece.flags.owndata  # mapped, not read
+        with pytest.raises((ValueError, FileNotFoundError, pa.ArrowInvalid)):
+            list(files.tokens(n - 1, 66))
+    assert pa.total_allocated_bytes() - before < 65_536
 
 
 def test_default_shape_and_file_uri(spark, docs, library, tmp_path):
