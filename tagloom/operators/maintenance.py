@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.skew import join_heavy
+
 
 def join_translations(tags: DataFrame, translations: DataFrame, lang: str, on: str = "tag") -> DataFrame:
-    """Each tag with its translation or null; the optimizer picks the join by size."""
+    """Each tag with its translation or null; tags on most rows don't move."""
     words = translations.where(F.col("lang") == lang).select(F.col("tag").alias(on), "translated")
-    return tags.join(words, on, "left")
+    return join_heavy(tags, words, on)
 
 
 def untranslated_tags(dictionary: DataFrame, translations: DataFrame, lang: str) -> DataFrame:

@@ -101,21 +101,54 @@ def test_heavy_keys_are_split_without_loss(spark, monkeypatch):
     assert {(r.leader, r.name) for r in got} == walk(rows, 10, 10, 0.85)
 
 
-@pytest.mark.parametrize("patience,span", [(0, 7), (2, 64)])
-def test_frames_that_hang_on_one_another(spark, monkeypatch, patience, span):
+def rounds_of(monkeypatch):
+    """Counts the rounds of walks."""
+    rounds, kept = [], D.number_rows
+    monkeypatch.setattr(D, "number_rows", lambda *a: rounds.append(1) or kept(*a))  # once at first, once for every further round
+    return rounds
+
+
+@pytest.mark.parametrize("span", [7, 64, 1000])
+def test_frames_that_hang_on_one_another(spark, monkeypatch, span):
     """Each frame is like the next few, so that every leader waits for the one before."""
-    monkeypatch.setattr(D, "PATIENCE", patience)
     monkeypatch.setattr(D, "SPAN", span)
     rng = random.Random(8)
     hist, h, rows = ([1.0] + [0.0] * 15) * 3, rng.getrandbits(64), []
-    for i in range(150):
+    for i in range(60):
         h ^= sum(1 << b for b in rng.sample(range(64), 3))
         rows.append((f"f{i:04d}", signed64(h), 0, hist))
-    rounds = []
-    real = D._settle_by_blocks
-    monkeypatch.setattr(D, "_settle_by_blocks", lambda u, p: rounds.append(1) or real(u, p))
+    rounds = rounds_of(monkeypatch)
     got = D.duplicate_members(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert rounds and {(r.leader, r.name) for r in got} == walk(rows, 10, 10, 0.85)
+    assert {(r.leader, r.name) for r in got} == walk(rows, 10, 10, 0.85)
+    assert len(rounds) <= -(-60 // span) + 1
+
+
+@pytest.mark.parametrize("span", [20, 90])
+def test_many_blocks_match_the_sequential_walk(spark, monkeypatch, span):
+    monkeypatch.setattr(D, "SPAN", span)
+    rows = planted(5, groups=60, copies=6)
+    got = D.duplicate_members(spark.createDataFrame(rows, SCHEMA), 12, 10, 0.85).collect()
+    assert {(r.leader, r.name) for r in got} == walk(rows, 12, 10, 0.85)
+
+
+def test_a_long_film_in_few_rounds(spark, monkeypatch):
+    """20,000 different frames, each like the next hundred and more."""
+    hist, h, rows = ([1.0] + [0.0] * 15) * 3, 0, []
+    rng = random.Random(2)
+    for i in range(20_000):
+        if i % 12 == 0:
+            h ^= 1 << rng.randrange(64)
+        rows.append((f"f{i:05d}", signed64(h), i % 12, hist))
+    rounds = rounds_of(monkeypatch)
+    got = {r.name: r.leader for r in D.duplicate_members(spark.createDataFrame(rows, SCHEMA)).collect()}
+    heads, want = [], {}
+    for name, d, p, _ in rows:
+        own = next((k[0] for k in heads if bits(k[1], d) <= 10 and bits(k[2], p) <= 10), None)
+        if own is None:
+            heads.append((name, d, p))
+        want[name] = own or name
+    alone = {k for k in want.values() if list(want.values()).count(k) == 1} if len(heads) < 400 else set()
+    assert got == {n: k for n, k in want.items() if k not in alone} and len(rounds) <= 3
 
 
 def test_summary_and_pruning(spark):
