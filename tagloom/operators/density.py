@@ -1,17 +1,23 @@
-"""Density clustering with noise, on bounded windows and a graph.
-
-Vectors are sorted along a few fixed directions and cut into overlapping windows
-of at most 2,048, so no cell can become heavy.  Windows give each vector its
-nearest neighbours and a spanning tree of mutual reachability; the trees of all
-windows make one sparse graph.  Clusters are followed through the graph's
-components at a series of distances, and those with the greatest excess of mass
-are kept.  Number of rows of a window (BLOCK), directions and levels are parameters of
-quality, the same at every size: a neighbour is found if any direction brings it
-into a common window, and a split is seen if a level lies between its distances.
+"""Density clustering with noise, on a forest of bounded cells and a graph.
+
+A forest of random-projection trees cuts the vectors into cells: every level halves all
+cells of all trees at the median along a random direction, by one numbering of
+narrow rows, until a cell has at most CELL of them.  Number of levels and of trees grow
+with the logarithm of the rows.  A task finds the nearest neighbours in its cell
+exactly and a spanning tree of mutual reachability; lists of neighbours are then
+completed by the neighbours of neighbours, over joins, so that a cell's border cuts
+nothing off.  Trees and lists make one sparse graph.  Clusters are
+followed through the graph's components at a series of distances, and those
+with the greatest excess of mass are kept; a split is seen if a level lies between its
+distances.  The path is the same at every size: with at most CELL vectors there is
+one cell, and neighbours and tree are exact.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,71 +27,117 @@ from tagloom.operators.clusters import cluster_kmeans, reduce_pca
 from tagloom.operators.ranking import number_rows
 from tagloom.session import materialize
 
-BLOCK = 1_024
-
+#: Vectors of a cell; distances that a task holds at a time; neighbours listed at least, the vector itself included.
+CELL, HELD, LISTED = 16_384, 4 << 20, 9
+
+
+def forest_shape(n: int, cell: int) -> tuple[int, int]:
+    """(trees, levels): each level of a tree parts close vectors with some chance, so deeper trees need company."""
+    levels = max(0, math.ceil(math.log2(max(1, n) / cell)))
+    return 1 + min(levels, 1 + levels // 2), levels
+
+
+def _cells(nodes: DataFrame, n: int, width: int) -> DataFrame:
+    """``(cell, id)``: every row in one cell of each tree."""
+    trees, levels = forest_shape(n, CELL)
+    if not levels:
+        return nodes.select(F.lit(0).cast("long").alias("cell"), "id")
+    axes = np.random.default_rng(0).standard_normal((trees * levels, width))
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            along = np.stack(batch["vec"].to_numpy()) @ axes.T
+            yield pd.DataFrame({"id": batch["id"], "along": list(along)})
+
+    rows = nodes.select("id", "vec").mapInPandas(project, "id long, along array<double>")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    rows = rows.withColumn("tree", tree).select(
+        "tree", "id", F.slice("along", F.col("tree") * levels + 1, levels).alias("along"), F.lit(0).cast("long").alias("half")
+    )
+    for level in range(levels):
+        # cells of a tree have equal sizes, so a place in the order of (tree, cell, projection) names the half
+        placed = number_rows(materialize(rows), [F.col("tree"), F.col("half"), F.get("along", F.lit(level)), F.col("id")], "at")
+        place = F.col("at") - F.col("tree") * n
+        rows = placed.withColumn("half", F.floor(place * (2 << level) / n)).select("tree", "id", "along", "half")
+    return materialize(rows.select((F.col("half") * trees + F.col("tree")).alias("cell"), "id"))
+
+
+def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the ``k`` nearest rows of every row, itself included."""
+    n, sq = len(x), (x * x).sum(axis=1)
+    places, near = np.empty((n, k), dtype=np.int64), np.empty((n, k))
+    step = max(1, HELD // n)
+    for a in range(0, n, step):
+        d = np.maximum(sq[a : a + step, None] + sq[None, :] - 2.0 * (x[a : a + step] @ x.T), 0.0)
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = 0.0
+        best = np.argpartition(d, k - 1, axis=1)[:, :k]
+        places[a : a + step], near[a : a + step] = best, np.sqrt(np.take_along_axis(d, best, axis=1))
+    return places, near
 
-def _distances(x: np.ndarray) -> np.ndarray:
-    sq = (x * x).sum(axis=1)
-    d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2.0 * (x @ x.T), 0.0))
-    np.fill_diagonal(d, 0.0)
-    return d
 
+def _shortest(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` first of each vector's neighbours; lists are combined before they are ranked."""
+    found = found.groupBy("id", "other").agg(F.min("d").alias("d"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
-def _windows(nodes: DataFrame, width: int, directions: int) -> DataFrame:
-    """``(window, id, vec)``: each row in up to two windows per direction."""
-    out = None
-    for t in range(directions):
-        axis = np.random.default_rng(t).standard_normal(width).tolist()
-        weights = F.lit(axis).cast("array<double>")
-        along = F.aggregate(F.zip_with("vec", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        placed = number_rows(nodes, [along, F.col("id")], "at")
-        block = F.floor(F.col("at") / BLOCK).cast("long")
-        both = F.array(block, F.greatest(block - 1, F.lit(0).cast("long")))
-        part = placed.select(F.explode_outer(F.array_distinct(both)).alias("w"), "id", "vec")
-        part = part.withColumn("window", F.concat_ws(":", F.lit(t), F.col("w"))).drop("w")
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def neighbours(nodes: DataFrame, cells: DataFrame, k: int, rounds: int = 1) -> DataFrame:
+    """``(id, other, d)``: the ``k`` nearest vectors of each, itself included.
 
-def _cores(windows: DataFrame, neighbours: int) -> DataFrame:
-    """Distance to the ``neighbours``-th nearest vector, the vector itself being the first."""
+    First those in the cells of each tree, then, ``rounds`` times, what the neighbours' lists add.
+    """
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = _distances(np.stack(pdf["vec"].to_numpy()))
-        ids = pdf["id"].to_numpy()
-        k = min(neighbours, len(ids))
-        best = np.argpartition(d, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({
-            "id": np.repeat(ids, k), "other": ids[best].ravel(), "d": np.take_along_axis(d, best, axis=1).ravel(),
-        })
-
-    found = windows.groupBy("window").applyInPandas(nearest, "id long, other long, d double")
-    found = found.groupBy("id", "other").agg(F.min("d").alias("d"))
+        ids, m = pdf["id"].to_numpy(), min(k, len(pdf))
+        places, d = _nearest(np.stack(pdf["vec"].to_numpy()), m)
+        return pd.DataFrame({"id": np.repeat(ids, m), "other": ids[places].ravel(), "d": d.ravel()})
+
+    vectors = nodes.select("id", "vec")
+    found = materialize(_shortest(cells.join(vectors, "id").groupBy("cell").applyInPandas(nearest, "id long, other long, d double"), k))
+    square = F.aggregate(F.zip_with("va", "vb", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    for _ in range(rounds if forest_shape(nodes.count(), CELL)[1] else 0):
+        hop = found.select(F.col("id").alias("other"), F.col("other").alias("far"))
+        pairs = found.select("id", "other").join(hop, "other").select("id", F.col("far").alias("other")).distinct()
+        fresh = pairs.join(found.select("id", "other"), ["id", "other"], "left_anti")
+        far = fresh.join(vectors.withColumnRenamed("vec", "va"), "id").join(vectors.select(F.col("id").alias("other"), F.col("vec").alias("vb")), "other")
+        found = materialize(_shortest(found.unionByName(far.select("id", "other", F.sqrt(square).alias("d"))), k))
+    return found
+
+
+def _cores(found: DataFrame, k: int) -> DataFrame:
+    """Distance to the ``k``-th nearest vector, the vector itself being the first."""
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
-    return found.withColumn("r", rank).where(F.col("r") <= neighbours).groupBy("id").agg(F.max("d").alias("core"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).groupBy("id").agg(F.max("d").alias("core"))
 
 
-def _tree_edges(windows: DataFrame) -> DataFrame:
-    """A minimum spanning tree of mutual reachability per window, as ``(a, b, w)``."""
+def _edges(nodes: DataFrame, cells: DataFrame, found: DataFrame, cores: DataFrame) -> DataFrame:
+    """``(a, b, w)``: a minimum spanning tree of mutual reachability in every cell, and the listed neighbours."""
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, core = pdf["id"].to_numpy(), pdf["core"].to_numpy()
-        reach = np.maximum(_distances(np.stack(pdf["vec"].to_numpy())), np.maximum(core[:, None], core[None, :]))
-        n = len(ids)
-        best, link = reach[0].copy(), np.zeros(n, dtype=int)
-        out = np.zeros(n, dtype=bool)
-        out[0] = True
-        rows = []
+        x = np.stack(pdf["vec"].to_numpy())
+        n, sq = len(ids), (x * x).sum(axis=1)
+        best, link = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+        outside = np.ones(n, dtype=bool)
+        rows, at = [], 0
         for _ in range(n - 1):
-            nxt = int(np.argmin(np.where(out, np.inf, best)))
-            rows.append((ids[link[nxt]], ids[nxt], best[nxt]))
-            out[nxt] = True
-            nearer = reach[nxt] < best
-            best[nearer], link[nearer] = reach[nxt][nearer], nxt
+            outside[at] = False
+            best[at] = np.inf
+            reach = np.sqrt(np.maximum(sq + sq[at] - 2.0 * (x @ x[at]), 0.0))
+            reach = np.maximum(reach, np.maximum(core, core[at]))
+            nearer = outside & (reach < best)
+            best[nearer], link[nearer] = reach[nearer], at
+            at = int(np.argmin(best))
+            rows.append((ids[link[at]], ids[at], best[at]))
         return pd.DataFrame(rows, columns=["p", "q", "w"])
 
-    edges = windows.groupBy("window").applyInPandas(tree, "p long, q long, w double")
-    return edges.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("w").alias("w"))
+    known = nodes.select("id", "vec").join(cores, "id")
+    edges = cells.join(known, "id").groupBy("cell").applyInPandas(tree, "p long, q long, w double")
+    ends = found.where("id <> other").join(cores, "id").join(cores.select(F.col("id").alias("other"), F.col("core").alias("far")), "other")
+    listed = ends.select(F.col("id").alias("p"), F.col("other").alias("q"), F.greatest("d", "core", "far").alias("w"))
+    both = edges.unionByName(listed)
+    return both.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("w").alias("w"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -125,17 +177,18 @@ def _levels(edges: DataFrame, most: int) -> list[float]:
 
 
 def cluster_density(
-    features: DataFrame, key: str = "asset_id", min_cluster_size: int = 5, levels: int = 32, dims: int = 50, directions: int = 4
+    features: DataFrame, key: str = "asset_id", min_cluster_size: int = 5, levels: int = 32, dims: int = 50, rounds: int = 1
 ) -> DataFrame:
     """``(key, label)``: clusters of at least a size, numbered by first key; -1 is noise."""
     slim = reduce_pca(features.select(key, "vec"), dims)
     nodes = materialize(number_rows(slim, [F.col(key)], "id"))
-    first = nodes.select(F.size("vec").alias("d")).first()
-    if first is None or nodes.count() < min_cluster_size:
+    first, n = nodes.select(F.size("vec").alias("d")).first(), nodes.count()
+    if n < min_cluster_size:
         return features.select(key, F.lit(-1).alias("label"))
-    windows = materialize(_windows(nodes.select("id", "vec"), first["d"], directions))
-    cores = _cores(windows, min_cluster_size)
-    edges = materialize(_tree_edges(windows.join(cores, "id")))
+    cells = _cells(nodes, n, first["d"])
+    found = neighbours(nodes, cells, max(min_cluster_size, LISTED), rounds)
+    cores = materialize(_cores(found, min_cluster_size))
+    edges = materialize(_edges(nodes, cells, found, cores))
     steps = _levels(edges, levels)
     if not steps:
         return nodes.select(key, F.lit(-1).alias("label"))

@@ -18,6 +18,16 @@ def heavy_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
     return [r["item"] for r in found if r["count"] * HEAVY_SHARE > total]
 
 
+def estimated_bytes(rows: DataFrame) -> int:
+    """Catalyst's estimate, from the sizes of files and upper bounds of what is made of them."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def broadcast_limit(rows: DataFrame) -> int:
+    limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(limit)
+
+
 def join_heavy(rows: DataFrame, side: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
     """``rows`` joined (inner or left) with ``side``, which has few rows per key.
 
@@ -27,6 +37,8 @@ def join_heavy(rows: DataFrame, side: DataFrame, on: str | Sequence[str], how: s
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left"):
         raise ValueError(f"cannot split a join of kind {how!r}")
+    if estimated_bytes(side) <= broadcast_limit(side):  # Catalyst broadcasts it: no row of either kind moves
+        return rows.join(side, on, how)
     heavy = heavy_hashes(rows, on)
     if not heavy:
         return rows.join(side, on, how)

@@ -1,7 +1,9 @@
 """Density clustering against a direct single-machine computation."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.operators import density as D
 
@@ -68,8 +70,8 @@ def test_against_the_direct_walk(spark, seed):
     assert [min(got[k]) for k in sorted(got)] == sorted(min(s) for s in got.values())
 
 
-def test_many_windows_and_few_levels(spark, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK", 40)
+def test_many_cells_and_few_levels(spark, monkeypatch):
+    monkeypatch.setattr(D, "CELL", 40)
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(10 * c, 0.2, (60, 3)) for c in range(3)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "asset_id long, vec array<double>")
@@ -79,6 +81,48 @@ def test_many_windows_and_few_levels(spark, monkeypatch):
         assert mine and not mine & {got[i] for i in range(180) if i // 60 != c}
 
 
+def planted_vectors(n, dims, size, seed=1):
+    rng = np.random.default_rng(seed)
+    return rng.uniform(-10, 10, (n // size, dims)).repeat(size, axis=0) + rng.standard_normal((n // size * size, dims))
+
+
+def recall(spark, x, k, asked, **options):
+    """Share of the true nearest neighbours of the rows in ``asked`` that are found."""
+    frame = pd.DataFrame({"id": np.arange(len(x)), "vec": list(x)})
+    nodes = D.materialize(spark.createDataFrame(frame, "id long, vec array<double>"))
+    found = D.neighbours(nodes, D._cells(nodes, len(x), x.shape[1]), k, **options)
+    got = found.where(F.col("id").isin([int(i) for i in asked])).toPandas().groupby("id")["other"].apply(set)
+    hits = 0
+    for i in asked:
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        hits += len(got[i] & set(np.argpartition(d, k - 1)[:k].tolist()) - {i})
+    return hits / len(asked) / (k - 1)
+
+
+def test_neighbours_are_found_across_many_cells(spark, monkeypatch):
+    """Five levels of cells; without the lists of neighbours and with one tree most would be lost."""
+    monkeypatch.setattr(D, "CELL", 640)
+    x = planted_vectors(20_000, 20, 100)
+    assert D.forest_shape(len(x), 640) == (4, 5)
+    assert recall(spark, x, 9, range(0, 20_000, 97)) >= 0.95
+
+
+def test_one_cell_is_exact(spark):
+    x = planted_vectors(3_000, 8, 50, seed=4)
+    assert recall(spark, x, 6, range(0, 3_000, 31)) == 1.0
+
+
+def test_a_large_table_against_planted_clusters(spark, monkeypatch):
+    """Many cells: no cluster mixes two planted ones that lie apart, few vectors are noise."""
+    monkeypatch.setattr(D, "CELL", 800)
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-100, 100, (12, 10)).repeat(500, axis=0) + rng.standard_normal((6_000, 10))
+    frame = pd.DataFrame({"asset_id": np.arange(len(x)), "vec": list(x)})
+    got = D.cluster_density(spark.createDataFrame(frame, "asset_id long, vec array<double>"), min_cluster_size=100, levels=8).toPandas().set_index("asset_id")["label"]
+    owners = got[got >= 0].groupby(got).apply(lambda g: {i // 500 for i in g.index})
+    assert all(len(o) == 1 for o in owners) and len(owners) >= 12 and (got < 0).mean() < 0.25
+
+
 def test_fallback(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "asset_id long, vec array<double>")
     out = D.cluster_fallback(df, min_cluster_size=5)
