@@ -96,15 +96,18 @@ class PerfectHash:
 class Vocabulary:
     """What a task needs to encode and decode."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens, self.pattern = tokens, pattern
+    def __init__(self, tokens: list[bytes], pattern: str, added: dict[str, int] | None = None):
+        """``added`` has texts that are tokens of their own, found before all others."""
+        self.tokens, self.pattern, self.added = tokens, pattern, added or {}
         self.index = PerfectHash(tokens)
 
     def ready(self) -> Vocabulary:
         """Once per Python worker: tables that are cheaper to make than to send."""
         if not hasattr(self, "ranks"):
             self.ranks = {t: i for i, t in enumerate(self.tokens)}
+            self.pairs = {(t[0], t[1]): i for i, t in enumerate(self.tokens) if len(t) == 2}
             self.split = regex.compile(self.pattern)
+            self.apart = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
             self.packed = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
             self.memory: dict[bytes, bytes] = {}
             self.older: dict[bytes, bytes] = {}
@@ -114,7 +117,7 @@ class Vocabulary:
         return self
 
     def __getstate__(self):
-        return {"tokens": self.tokens, "pattern": self.pattern, "index": self.index}
+        return {"tokens": self.tokens, "pattern": self.pattern, "added": self.added, "index": self.index}
 
     def merge(self, word: bytes) -> bytes:
         """Tier 2: always the pair of neighbours with the lowest rank, the leftmost of equal ones."""
@@ -122,7 +125,8 @@ class Vocabulary:
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts at a place
         shift = n.bit_length()
         mask, both = (1 << shift) - 1, 2 * shift
-        heap = [rank << both | i << shift | i + 2 for i in range(n - 1) if (rank := rank_of(word[i : i + 2])) is not None]
+        pairs = self.pairs
+        heap = [pairs[a, b] << both | i << shift | i + 2 for i, (a, b) in enumerate(zip(word, word[1:])) if (a, b) in pairs]
         heapify(heap)
         while heap:
             code = heappop(heap)
@@ -147,9 +151,12 @@ class Vocabulary:
             i = end[i]
         return pack(f"<{len(ids)}I", *ids)
 
-    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of different pre-tokens, flat, and the number of ids of each."""
-        tokens, packed, memory = self.tokens, self.packed, self.memory
+    def pieces_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different pre-tokens."""
+        tokens, packed, memory, older = self.tokens, self.packed, self.memory, self.older
+        if len(memory) >= REMEMBERED // 2:  # what was asked for lately stays a generation longer
+            older = self.older = memory
+            memory = self.memory = {}
         found = []
         for word, place in zip(words, self.index.places(words).tolist(), strict=True):
             if tokens[place] == word:
@@ -157,14 +164,13 @@ class Vocabulary:
                 continue
             ids = memory.get(word)
             if ids is None:
-                ids = self.older.get(word)
-                if ids is None:
-                    ids = self.merge(word)
-                if len(memory) >= REMEMBERED // 2:  # what was asked for lately stays a generation longer
-                    self.older, self.memory = memory, {}
-                    memory = self.memory
-                memory[word] = ids
+                memory[word] = ids = older.get(word) or self.merge(word)
             found.append(ids)
+        return found
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pre-tokens, flat, and the number of ids of each."""
+        found = self.pieces_of(words)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         return np.frombuffer(b"".join(found), dtype="<u4"), sizes
 
@@ -191,21 +197,30 @@ class Vocabulary:
             waiting.clear()
             owners.clear()
 
-        for k, text in enumerate(texts):
+        def add(k: int, text: str) -> None:
             if len(text) <= SLICE_CHARS:
                 words = self.split.findall(text)
                 waiting.extend(words)
                 owners.append((k, len(words)))
                 if len(waiting) >= SLICE_TOKENS:
                     flush()
-                continue
+                return
             matches = (m.group() for m in self.split.finditer(text))
             while words := list(islice(matches, SLICE_TOKENS)):
                 waiting.extend(words)
                 owners.append((k, len(words)))
                 flush()
+
+        for k, text in enumerate(texts):
+            done = 0
+            for m in self.apart.finditer(text) if self.apart else ():
+                add(k, text[done : m.start()])
+                flush()
+                pieces[k].append(np.array([self.added[m.group()]], dtype=np.uint32))
+                done = m.end()
+            add(k, text[done:] if done else text)
         flush()
-        return [np.concatenate(p) if p else np.empty(0, np.uint32) for p in pieces]
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.empty(0, np.uint32) for p in pieces]
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)

@@ -14,6 +14,7 @@ taken by a hash of id and piece; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -86,24 +87,21 @@ def best_fit(lengths: list[int], size: int = SEQUENCE) -> tuple[list[int], list[
     return sequences, offsets
 
 
-def pieces(docs: DataFrame, rank_file: str, pattern: str, end_id: int = 0, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(rank_file), pattern))
+def pieces(docs: DataFrame, rank_file: str, pattern: str, end_id: int = 0, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32. ``added`` has texts that are tokens of their own."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(rank_file), pattern, added))
     kind = docs.schema[id_col].dataType
     arrow_kind = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.value.ready()
+        words, end = vocabulary.value.ready(), end_id.to_bytes(4, "little")
         for keys, texts in slices(batches):
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: list[tuple] = []
             for key, ids in zip(keys, words.encode(texts), strict=True):
-                packed = ids.astype("<u4").tobytes() + end_id.to_bytes(4, "little")
-                for k, (start, length) in enumerate(cut(len(ids) + 1, size)):
-                    crc = zlib.crc32(packed[4 * start : 4 * (start + length)])
-                    for column, value in zip(rows, (key, k, start, length, crc), strict=True):
-                        column.append(value)
+                packed = memoryview(ids.astype("<u4", copy=False).tobytes() + end)
+                rows += [(key, k, start, n, zlib.crc32(packed[4 * start : 4 * (start + n)])) for k, (start, n) in enumerate(cut(len(ids) + 1, size))]
             kinds = (arrow_kind, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
@@ -130,3 +128,12 @@ def pack(cuts: DataFrame, size: int = SEQUENCE, shard: int = SHARD) -> DataFrame
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cuts.schema)
     packed = dealt.groupBy("_shard").applyInArrow(fill, f"{schema}, sequence_id bigint, offset bigint")
     return full.unionByName(packed)
+
+
+def added_tokens(tokenizer_file: str) -> dict[str, int]:
+    """Texts with ids of their own in a file of the tokenizers library; those with rules beyond their text are refused."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        listed = json.load(f).get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in listed):
+        raise ValueError(f"{tokenizer_file}: added tokens look at their surroundings")
+    return {t["content"]: t["id"] for t in listed}

@@ -45,8 +45,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the rank file holds the vocabulary of byte_bpe_50k.json: the same text gives the same ids
-    cuts = packing.pieces(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
+    # the rank file holds the vocabulary of byte_bpe_50k.json but for its added tokens
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    cuts = packing.pieces(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, added=added)
     return packing.pack(cuts)
 
 

@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tagloom.llm import exact, extraction, language_model, pii, simhash, toxicity
+from tests.llm.test_near_copies import plain_set
 from tests.llm.conftest import SCHEMA, row
 
 SF = "/root/testdata/sf0.001"
@@ -120,16 +121,16 @@ def test_pipeline_is_its_stages(spark):
         text = r["text"].encode().lower()
         last[text] = max(last.get(text, -1), r["doc_id"])
     left = {r["doc_id"]: r["text"] for r in left if last[r["text"].encode().lower()] == r["doc_id"]}
-    prints = {i: simhash.fingerprint(t) for i, t in left.items()}
+    sets = {i: plain_set(t) for i, t in left.items()}
     seen: dict = {}
-    for i in sorted(prints):  # components by breadth
-        if i not in seen:
-            front = [i]
-            while front:
-                a = front.pop()
-                seen.setdefault(a, i)
-                front += [b for b in prints if b not in seen and (prints[a] ^ prints[b]).bit_count() <= 3]
-                seen.update(dict.fromkeys(front, i))
+    for i in sorted(sets):  # components by breadth
+        front = [] if i in seen else [i]
+        while front:
+            a = front.pop()
+            seen.setdefault(a, i)
+            near = [b for b in sets if b not in seen and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+            front += near
+            seen.update(dict.fromkeys(near, i))
     left = {i: t for i, t in left.items() if seen[i] == i}
     assert {r["doc_id"] for r in got} == set(left) and len(left) < docs.count()
     clean = {r["doc_id"]: r["text"] for r in pii.replace(docs.where(docs.doc_id.isin(list(left))), corpus_pipeline.SURROGATE_KEY).collect()}

@@ -1,6 +1,7 @@
 """BPE against a library, and packing against what a sequence allows."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,6 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tagloom.llm import bpe, packing
 
@@ -39,6 +41,20 @@ def test_long_texts_in_slices(monkeypatch):
     assert [x.tolist() for x in VOCABULARY.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_any_white_space_and_added_tokens(seed):
+    """Random texts of blanks, other white space, marks and added tokens, against both libraries."""
+    rng = random.Random(seed)
+    parts = [" ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "The", "'s", "'ll", "12", "é", "!", "...", "<|endoftext|>", "<|", "\U0001f600"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4_000)]
+    assert [x.tolist() for x in VOCABULARY.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = bpe.Vocabulary(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, packing.added_tokens(path)).ready() if seed == 0 else None
+    if own:
+        library = Tokenizer.from_file(path)
+        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encode_rows(docs, rows, empty):
     got = sorted((r["doc_id"] or 0, r["n_tokens"], hashlib.sha256(r["ids"]).hexdigest(), bytes(r["decoded"])) for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect())
     want = []
