@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import tags as T
+from tagloom.operators.skew import join_heavy
+from tagloom.session import materialize
 
 DOC = (
     "struct<fixed:struct<quality:string,series:string,artist:string>,"
@@ -252,63 +254,82 @@ def doc_tags(doc: Column) -> Column:
 # -- building from selected tags --------------------------------------------------
 
 
+#: Letters of the piece that a contained keyword is looked up by; shorter keywords count only when equal.
+PIECE = 4
+GROUPS = ("appearance", "environment", "count")
+
+
 @dataclass(frozen=True)
 class Taxonomy:
-    """Keyword lists that sort general tags into groups; an input of the user's."""
+    """Keyword lists that sort general tags into groups; an input table ``(keyword, grp)`` of the user's, of any size."""
 
-    appearance: tuple[str, ...]
-    environment: tuple[str, ...]
-    count: tuple[str, ...]
+    table: DataFrame
 
     @classmethod
-    def load(cls, table: DataFrame, limit: int = 20_000) -> Taxonomy:
-        """Read ``(keyword, grp)``; it becomes a literal of the plan, so its size is checked."""
-        rows = table.select("keyword", "grp").distinct().take(limit + 1)
-        if len(rows) > limit:
-            raise ValueError(f"a taxonomy of more than {limit} keywords does not fit a plan")
-        by = {g: tuple(sorted(r["keyword"] for r in rows if r["grp"] == g)) for g in ("appearance", "environment", "count")}
-        return cls(**by)
-
-    def group(self, tag: Column) -> Column:
-        """appearance, environment or tags: equal first, then containing a keyword of 4+ letters."""
-        low = F.lower(tag)
-
-        def equal(words):
-            return F.array_contains(T.literal_list(words), low)
-
-        def inside(words):
-            return F.exists(T.literal_list([w for w in words if len(w) >= 4]), lambda k: low.contains(k))
-
-        return (
-            F.when(equal(self.appearance), "appearance")
-            .when(equal(self.environment), "environment")
-            .when(inside(self.appearance), "appearance")
-            .when(inside(self.environment), "environment")
-            .otherwise("tags")
+    def load(cls, table: DataFrame) -> Taxonomy:
+        return cls(table.select("keyword", "grp").where(F.col("grp").isin(*GROUPS)).distinct())
+
+    def ranked(self, tags: DataFrame) -> DataFrame:
+        """``(tag, grp, counted)`` of every different tag of a ``(tag)`` relation.
+
+        Equal keywords first, then contained ones of PIECE letters and more, each time appearance before
+        environment; ``counted`` marks keywords of the group count.  A contained keyword is met by its rarest piece: tags list
+        all their pieces, so the join is on an equal key, and only what meets is tested in full.
+        """
+        named = materialize(tags.select("tag").distinct().select("tag", F.lower("tag").alias("low")))
+        order = F.when(F.col("grp") == "appearance", 0).otherwise(1)
+        whole = self.table.groupBy(F.col("keyword").alias("low")).agg(
+            F.min(F.when(F.col("grp") != "count", order)).alias("rank"), F.bool_or(F.col("grp") == "count").alias("counted")
         )
+        equal = join_heavy(named, whole, "low").select("tag", "low", "rank", F.coalesce("counted", F.lit(False)).alias("counted"))
 
-    def slot(self, tag: Column, category: Column) -> Column:
-        """Which part of a document a selected tag goes to."""
-        direct = category.isin("character", "copyright", "rating", "quality", "artist")
-        counted = F.array_contains(T.literal_list(self.count), F.lower(tag))
-        return (
-            F.when(direct, category).when(category == "model", "tags").when(counted, "count").otherwise(self.group(tag))
-        )
+        sought = self.table.where((F.col("grp") != "count") & (F.length("keyword") >= PIECE)).groupBy("keyword").agg(F.min(order + 2).alias("inside"))
+        spread = sought.select("keyword", "inside", F.explode_outer(_pieces(F.col("keyword"))).alias("piece"))
+        held = spread.groupBy("piece").agg(F.count("*").alias("n"))
+        keyed = spread.join(held, "piece").groupBy("keyword", "inside").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+        pieces = named.where(F.length("low") >= PIECE).select("tag", "low", F.explode_outer(_pieces(F.col("low"))).alias("piece"))
+        met = join_heavy(pieces, keyed, "piece", "inner").where(F.contains("low", "keyword"))
+        inside = met.groupBy("tag").agg(F.min("inside").alias("inside"))
+        rank = F.coalesce("rank", "inside")
+        grp = F.when(rank.isin(0, 2), "appearance").when(rank.isin(1, 3), "environment").otherwise("tags")
+        return equal.join(inside, "tag", "left").select("tag", grp.alias("grp"), "counted")
+
+
+def _pieces(text: Column) -> Column:
+    """The different pieces of PIECE letters of a text that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (PIECE - 1)), lambda i: F.substr(text, i, F.lit(PIECE))))
 
 
 def classify_tags(tags: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Group of every distinct tag of a ``(tag)`` relation."""
-    return tags.select("tag").distinct().withColumn("grp", taxonomy.group(F.col("tag")))
+    return taxonomy.ranked(tags).select("tag", "grp")
 
 
-def build_doc(selected: Column, taxonomy: Taxonomy) -> Column:
-    """Full document from an ordered ``array<struct<name, category>>``.
+def with_slots(selected: DataFrame, taxonomy: Taxonomy, tags: str) -> DataFrame:
+    """``selected`` with ``slotted``: its tags in order, each with the part of a document it goes to.
+
+    Only different names are classified.  Rows are numbered and keep their columns; a list
+    is taken apart and put together again, one aggregation per row.
+    """
+    rows = materialize(selected.withColumn("_row", F.monotonically_increasing_id()))
+    items = rows.select("_row", F.posexplode(tags).alias("_at", "_tag")).select("_row", "_at", "_tag.name", "_tag.category")
+    grouped = materialize(taxonomy.ranked(items.select(F.col("name").alias("tag"))).withColumnRenamed("tag", "name"))
+    category = F.col("category")
+    direct = category.isin("character", "copyright", "rating", "quality", "artist")
+    slot = F.when(direct, category).when(category == "model", "tags").when(F.col("counted"), "count").otherwise(F.col("grp"))
+    lists = join_heavy(items, grouped, "name").groupBy("_row").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "name", slot.alias("slot")))).alias("slotted")
+    )
+    empty = F.array().cast("array<struct<_at:int,name:string,slot:string>>")
+    return rows.join(lists, "_row", "left").withColumn("slotted", F.coalesce("slotted", empty)).drop("_row")
+
+
+def build_doc(slotted: Column) -> Column:
+    """Full document from an ordered ``array<struct<name, slot>>``.
 
     Ratings come before qualities (the last one first), the artist text gets a
     single ``@``, counts are set apart.
     """
-    slotted = F.transform(selected, lambda s: F.struct(s["name"].alias("name"), taxonomy.slot(s["name"], s["category"]).alias("slot")))
-
     def pick(slot: str) -> Column:
         return F.transform(F.filter(slotted, lambda s: s["slot"] == slot), lambda s: s["name"])
 
@@ -327,13 +348,13 @@ def build_doc(selected: Column, taxonomy: Taxonomy) -> Column:
 
 def build_tag_doc(selected: DataFrame, taxonomy: Taxonomy, tags: str = "selected") -> DataFrame:
     """Add ``doc`` and its JSON text, empty parts left out."""
-    out = selected.withColumn("doc", build_doc(F.col(tags), taxonomy))
+    out = with_slots(selected, taxonomy, tags).withColumn("doc", build_doc(F.col("slotted"))).drop("slotted")
     return out.withColumn("json", doc_json(F.col("doc"), drop_empty_parts=True))
 
 
 def build_flat_doc(selected: DataFrame, taxonomy: Taxonomy, tags: str = "selected") -> DataFrame:
     """Add ``flat`` and its JSON text, in the flat layout's own key order."""
-    out = selected.withColumn("flat", doc_to_flat(build_doc(F.col(tags), taxonomy)))
+    out = with_slots(selected, taxonomy, tags).withColumn("flat", doc_to_flat(build_doc(F.col("slotted")))).drop("slotted")
     flat = F.col("flat")
     names = ("quality", "count", "character", "series", "artist", "appearance", "tags", "environment")
     lists = ("appearance", "tags", "environment")

@@ -131,11 +131,21 @@ def path_variant(path: Column) -> Column:
 
 
 def path_seed(path: Column) -> Column:
-    @F.pandas_udf("long")
-    def run(paths: pd.Series) -> pd.Series:
-        return paths.map(lambda p: K.signed64(K.path_seed(p)))
+    """Polynomial hash (base 31) of the UTF-8 bytes modulo 2^64, folded in two halves of 32 bits that a long can hold."""
+    low32 = F.lit((1 << 32) - 1)
+    digits = F.transform(
+        F.sequence(F.lit(0), F.octet_length(path) - 1),
+        lambda i: F.conv(F.substr(F.hex(path), i * 2 + 1, F.lit(2)), 16, 10).cast("long"),
+    )
+
+    def step(acc: Column, digit: Column) -> Column:
+        low = acc["low"] * 31 + digit
+        high = acc["high"] * 31 + F.shiftright(low, 32)
+        return F.struct(high.bitwiseAND(low32).alias("high"), low.bitwiseAND(low32).alias("low"))
 
-    return run(path)
+    zero = F.struct(F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"))
+    folded = F.aggregate(digits, zero, step, lambda acc: F.shiftleft(acc["high"], 32).bitwiseOR(acc["low"]))
+    return F.when(F.octet_length(path) > 0, folded).when(path.isNotNull(), F.lit(0).cast("long"))
 
 
 def perspective_warp(images: DataFrame, intensity: float, path: str = "name") -> DataFrame:

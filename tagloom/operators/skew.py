@@ -20,7 +20,7 @@ def heavy_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
 
 def estimated_bytes(rows: DataFrame) -> int:
     """Catalyst's estimate, from the sizes of files and upper bounds of what is made of them."""
-    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(rows: DataFrame) -> int:

@@ -1,6 +1,7 @@
 """Real folders: scanning, probing, sidecars, tables in text, and file actions."""
 
 import json
+import random
 import os
 
 import numpy as np
@@ -97,7 +98,8 @@ def test_flat_and_back_is_stable(spark):
 
 
 def test_artist_gets_one_at_and_ratings_lead(spark):
-    tax = D.Taxonomy(("hair", "hat"), ("sky",), ("solo",))
+    words = [("hair", "appearance"), ("hat", "appearance"), ("sky", "environment"), ("solo", "count"), ("hair", "other")]
+    tax = D.Taxonomy.load(spark.createDataFrame(words, "keyword string, grp string"))
     picked = [("solo", "general"), ("Long Hair", "general"), ("what", "meta"), ("blue skyline", "general"), ("r1", "rating"), ("q", "quality"),
               ("r2", "rating"), ("@me", "artist"), ("you", "artist"), ("m", "model")]
     df = spark.createDataFrame([(picked,)], "selected array<struct<name:string,category:string>>")
@@ -110,6 +112,28 @@ def test_artist_gets_one_at_and_ratings_lead(spark):
     assert list(flat) == ["quality", "count", "artist", "appearance", "tags"]
 
 
+def test_a_large_taxonomy_is_no_literal_and_equals_a_plain_search(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    words = {(word(rng.randint(3, 9)), rng.choice(["appearance", "environment", "count"])) for _ in range(400)}
+    tags = [word(rng.randint(1, 14)).title() for _ in range(300)] + ["", None, "Abcd"]
+    more = spark.range(100_000).select(F.concat(F.lit("zz"), F.lpad(F.conv("id", 10, 26), 6, "0")).alias("keyword"), F.lit("environment").alias("grp"))
+    table = spark.createDataFrame(list(words), "keyword string, grp string").unionByName(more)
+    out = D.classify_tags(spark.createDataFrame([(t,) for t in tags], "tag string"), D.Taxonomy.load(table))
+    got = {r["tag"]: r["grp"] for r in out.collect()}
+
+    def plain(tag):
+        low = (tag or "").lower()
+        for test in (lambda k: k == low, lambda k: len(k) >= 4 and k in low):
+            for grp in ("appearance", "environment"):
+                if tag is not None and any(g == grp and test(k) for k, g in words):
+                    return grp
+        return "tags"
+
+    assert got == {t: plain(t) for t in tags} and len(set(got.values())) == 3
+    assert "zz000" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dictionary_csv(spark, tmp_path):
     (tmp_path / "d.csv").write_text('a,1,10,"x,y"\nb,z,,\n,3,4,q\na,2,7\n  \n"c d",4,5,""\n')
     rows = {r.name: r for r in tables.load_tag_dict(tables.read_lines(spark, str(tmp_path / "d.csv"))).collect()}
