@@ -6,7 +6,7 @@ another as sequences of equal length:
 
 - ``tokens-<part>-<k>.arrow`` (Arrow IPC file): ``ids`` and ``mask``, both fixed-size lists, in batches of BATCH
   sequences. Token t of a part is in file t // (length * per_file) at a place that follows from t alone, so a reader
-  maps the file and takes a view. The mask is 1 for a token and 0 for the filling of a part's last sequence.
+  maps the file and takes a view. The mask (bits) is true for a token and false for the filling of a part's last sequence.
 - ``documents-<part>-<k>.arrow``: doc_id, start (in the part) and n_tokens of the documents that begin in that file.
 - ``manifest``: a Parquet table with a row per file; what lies before a part is the sum over the parts before it.
 
@@ -181,7 +181,7 @@ class _PartWriter:
         self.length, per_file, per_batch = shape
         self.per_file = self.length * per_file
         token = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(token, self.length)), ("mask", pa.list_(pa.uint8(), self.length))])
+        self.schema = pa.schema([("ids", pa.list_(token, self.length)), ("mask", pa.list_(pa.bool_(), self.length))])
         self.index_schema = pa.schema([("doc_id", id_kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.buffer, self.used, self.n_tokens = np.empty(per_batch * self.length, dtype=kind), 0, 0
         self.rows: tuple[list, list, list] = ([], [], [])
@@ -220,8 +220,8 @@ class _PartWriter:
             return
         n = -(-self.used // self.length) * self.length
         self.buffer[self.used : n] = self.fill
-        mask = np.zeros(n, dtype=np.uint8)
-        mask[: self.used] = 1
+        mask = np.zeros(n, dtype=bool)
+        mask[: self.used] = True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.buffer[:n], mask)]
         self.tokens.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.used = 0
@@ -306,7 +306,7 @@ class TokenFiles:
         local = isinstance(files, pafs.LocalFileSystem)
         return pa.ipc.open_file(pa.memory_map(path) if local else files.open_input_file(path))
 
-    def batch(self, sequence: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def batch(self, sequence: int) -> tuple[np.ndarray, pa.BooleanArray, int]:
         """Flat ids and mask of the batch that holds ``sequence``, and its first sequence."""
         file, inside = divmod(sequence, self.per_file)
         if self._file is None or self._file[0] != file:
@@ -314,14 +314,14 @@ class TokenFiles:
         number = inside // self.per_batch
         if self._batch is None or self._batch[0] != number:
             columns = self._file[1].get_batch(number).columns
-            self._batch = (number, *[c.flatten().to_numpy(zero_copy_only=True) for c in columns])
+            self._batch = (number, columns[0].flatten().to_numpy(zero_copy_only=True), columns[1].flatten())
         return self._batch[1], self._batch[2], file * self.per_file + number * self.per_batch
 
-    def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of one sequence."""
         ids, mask, first = self.batch(number)
         a = (number - first) * self.length
-        return ids[a : a + self.length], mask[a : a + self.length]
+        return ids[a : a + self.length], mask.slice(a, self.length)
 
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
         """``n`` ids from place ``start`` of the part, a batch at a time."""
@@ -329,7 +329,7 @@ class TokenFiles:
             ids, mask, first = self.batch(start // self.length)
             a = start - first * self.length
             taken = ids[a : a + n]
-            if not mask[a : a + n].all():
+            if mask.slice(a, n).false_count:
                 raise ValueError("tokens beyond the last document were asked for")
             yield taken
             start, n = start + len(taken), n - len(taken)
