@@ -177,13 +177,26 @@ def vocab_categories(v: Views):
       CASE WHEN line_no % 13 = 0 THEN 'too few columns' WHEN line_no % 11 = 0 THEN 'unknown language' END AS reason FROM n)
     SELECT line_no, CASE WHEN line_no % 13 = 0 THEN NULL ELSE translated END AS translated, CASE WHEN line_no % 13 = 0 THEN NULL ELSE lang END AS lang, tag, reason FROM j""")
 def import_translations(v: Views):
+    return _judged_lines(v).drop("columns")
+
+
+@query("import_summary", """
+    WITH n AS (SELECT row_number() OVER (ORDER BY tag, lang) AS k FROM fx_cache)
+    SELECT CASE WHEN k % 13 = 0 THEN 'too few columns' WHEN k % 11 = 0 THEN 'unknown language' ELSE 'imported' END AS outcome, count(*) AS n
+    FROM n GROUP BY outcome""")
+def import_summary(v: Views):
+    return tables.import_summary(_judged_lines(v))
+
+
+def _judged_lines(v: Views):
+    """The cache as lines of a translation file, some of them faulty, judged by the import."""
     n = rk.number_rows(v.cache(), [F.col("tag"), F.col("lang")], "line_no").withColumn("line_no", F.col("line_no") + 1)
     text = F.when(F.col("line_no") % 7 == 0, 'x"y, z').otherwise(F.concat(F.lit("tr "), "lang"))
     lang = F.when(F.col("line_no") % 11 == 0, "fr").otherwise(F.col("lang"))
     line = F.when(F.col("line_no") % 13 == 0, tables.csv_line(F.col("tag"))).otherwise(tables.csv_line(F.col("tag"), text, lang))
     body = n.select("line_no", F.concat(F.lit(" "), line, F.lit(" ")).alias("line"))
     head = v.spark.range(1).select(F.lit(0).cast("long").alias("line_no"), F.lit("\ufeffTag, Translated,lang").alias("line"))
-    return tables.import_translations(head.unionByName(body)).drop("columns")
+    return tables.import_translations(head.unionByName(body))
 
 
 _FILE_LINES = "(SELECT *, row_number() OVER (ORDER BY name) AS k FROM fx_dict)"

@@ -148,6 +148,15 @@ def split_cache_hits(v: Views):
     return out.select("asset_id", F.col("position").cast("long").alias("position"), "tag", "translated", "hit")
 
 
+@query("cache_counts", """
+    WITH c AS (SELECT c.tag, t.tag IS NOT NULL AS hit FROM (SELECT unnest(tags) AS tag FROM fx_captions) c
+      LEFT JOIN (SELECT * FROM fx_cache WHERE lang = 'ja') t ON c.tag = t.tag)
+    SELECT count(DISTINCT tag) FILTER (hit) AS cached_count, count(*) FILTER (NOT hit) AS uncached_count FROM c""")
+def cache_counts(v: Views):
+    asked = v.captions().select(F.explode_outer("tags").alias("tag")).where("tag is not null")
+    return mt.cache_counts(mt.split_cache_hits(asked, v.cache(), "ja"))
+
+
 # -- tag algebra -------------------------------------------------------------------
 
 
@@ -389,6 +398,13 @@ def page_rows(v: Views):
     return rk.page_rows(v.assets(), [F.col("name")], 9).select("name", "page", "slot")
 
 
+@query("one_page", """
+    SELECT name, post_count FROM fx_dict ORDER BY post_count DESC, name LIMIT 50 OFFSET 100""")
+def one_page(v: Views):
+    """The third page of 50 dictionary entries, the commonest first."""
+    return rk.one_page(v.dictionary().select("name", "post_count"), [F.col("post_count").desc(), F.col("name")], 50, 2)
+
+
 @query("chunk_rows", """
     SELECT name, p AS position, p // 80 AS chunk
     FROM (SELECT name, row_number() OVER (ORDER BY post_count DESC, name) - 1 AS p FROM fx_dict)""")
