@@ -95,8 +95,8 @@ def rename_plan(assets: DataFrame, prefix: str = "", start: int = 1, digits: int
 
 
 def shuffle_plan(assets: DataFrame, seed: int, prefix: str = "", start: int = 1, digits: int = 4) -> DataFrame:
-    """As :func:`rename_plan` in a random order that ``seed`` reproduces."""
-    order = [F.xxhash64("name", F.lit(seed)), F.col("name")]
+    """As :func:`rename_plan` in a random order that ``seed`` reproduces, here and in other engines: that of MD5 of seed and name."""
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("name"))), F.col("name")]
     return _renamed(number_rows(assets, order), prefix, start, digits)
 
 

@@ -380,7 +380,9 @@ def rename_plan(v: Views):
     return rk.rename_plan(v.assets(), "set_", 8, 4).select("name", "renamed")
 
 
-@query("shuffle_plan")
+@query("shuffle_plan", """
+    SELECT name, 'set_' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INTEGER, '0') || '.' || ext AS renamed
+    FROM (SELECT name, ext, row_number() OVER (ORDER BY md5('7:' || name), name) AS n FROM fx_assets)""")
 def shuffle_plan(v: Views):
     return rk.shuffle_plan(v.assets(), 7, "set_", 1, 4).select("name", "renamed")
 
