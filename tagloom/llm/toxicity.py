@@ -20,6 +20,7 @@ score is 0; an empty table gives an empty result; other columns are not read by
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -181,8 +182,22 @@ def held_out(id_column: Column) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def _train_drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of the drawn rows, which one task meets together; every other row calibrates."""
+    drawn: dict[int, list[tuple[int, int, str]]] = {1: [], 0: []}
+    for batch in batches:
+        for label, *rest in zip(*(batch.column(k).to_pylist() for k in ("_label", "_order", "_id", "_text")), strict=True):
+            drawn[label].append(tuple(rest))
+    parts = [[(text, label) for _, _, text in sorted(rows)] for label, rows in drawn.items()]
+    model = train([r for part in parts for r in part[::2]], [r for part in parts for r in part[1::2]])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most SAMPLE_TOXIC + SAMPLE_ORDINARY labelled rows that are not held out."""
+    """Fit, in one task, on at most SAMPLE_TOXIC + SAMPLE_ORDINARY labelled rows that are not held out.
+
+    Labelled texts of more than SAMPLE_CHARS characters are not fitted on; all are scored.
+    """
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_label"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= SAMPLE_CHARS)
     known = labels.where(~held_out(F.col("_id"))).withColumn("_order", F.xxhash64("_id"))
@@ -190,9 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         # ids are chosen first, so that only the chosen texts move
         ids = known.where(F.col("_label") == label).orderBy("_order", "_id").limit(most)
-        parts.append(texts.join(F.broadcast(ids), "_id").orderBy("_order", "_id", "_text").limit(most).select("_text", "_label"))
-    drawn = [[(r[0], r[1]) for r in p.collect()] for p in parts]
-    return train([r for part in drawn for r in part[::2]], [r for part in drawn for r in part[1::2]])
+        parts.append(texts.join(F.broadcast(ids), "_id").orderBy("_order", "_id", "_text").limit(most).select("_label", "_order", "_id", "_text"))
+    trained = parts[0].unionByName(parts[1]).coalesce(1).mapInArrow(_train_drawn, "model binary").collect()
+    return pickle.loads(trained[0]["model"]) if trained else train([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
