@@ -11,6 +11,7 @@ import xxhash
 
 from tagloom.llm import exact, simhash
 from tagloom.llm.graph import components
+from tests.conftest import plan_of
 from tests.llm.conftest import SCHEMA, row
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,6 +76,37 @@ def test_drop_copies(docs, rows, empty):
     assert exact.drop_copies(empty).collect() == []
 
 
+def test_results_do_not_depend_on_the_filter(docs, rows, spark, monkeypatch):
+    """A filter far too small for its rows only lets more of them look repeated."""
+    many = docs.unionByName(spark.createDataFrame([row(1_000 + k, f"single {k}") for k in range(40_000)], SCHEMA))
+    want = sorted(map(str, exact.exact_groups(many).collect()))
+    monkeypatch.setattr(exact, "MAX_BITS", exact.BITMAP)
+    narrow = exact.digests(many)
+    share = exact.with_maybe(narrow, *exact.filter_bits(narrow)).where("maybe").count() / narrow.count()
+    assert share > 0.5 and sorted(map(str, exact.exact_groups(many).collect())) == want
+    assert sorted(fold(r["text"]) for r in exact.drop_copies(many).collect()) == sorted({fold(r[1]) for r in rows} | {f"single {k}" for k in range(40_000)})
+
+
+def test_repeated_rows_of_one_id(spark):
+    frame = spark.createDataFrame([row(7, "same")] * 3_000 + [row(None, "none")] * 500 + [row(k, "same") for k in range(6)] + [row(8, "other")], SCHEMA)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in exact.drop_copies(frame).collect()) == [(-1, "none"), (7, "same"), (8, "other")]
+
+
+def test_documents_shuffle_only_if_the_filter_holds_them(docs):
+    listed = exact.listed_rows(exact.digests(docs))
+    assert "doc" not in listed.columns and "text" not in listed.columns
+    docs.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(exact.drop_copies(docs))
+    finally:
+        docs.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    _, straight, perhaps, once = re.split(r"\n   [:+]- ", plan)
+    assert "NOT coalesce((getbit(" in straight and "hashpartitioning" not in straight
+    # the other two move what the filter may hold, and the list, once each
+    assert perhaps.count("Exchange hashpartitioning") == once.count("Exchange hashpartitioning") == 2
+    assert all("coalesce((getbit(" in part and "SortMergeJoin" in part for part in (perhaps, once))
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", fold(text))
     shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
