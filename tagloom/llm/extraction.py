@@ -12,7 +12,8 @@ are then decoded whole.
 
 Defined results: null and empty pages and pages without main text give an empty text; broken markup (unclosed
 or crossed elements, comments and quotes) is read as far as it goes, what cannot be a tag is text; repeated rows each
-get a row; without any marked page the skins are filled with a fixed sentence; an empty table gives an
+get a row; time and memory grow in proportion to a page, however long or broken it is; white space is what Python's ``split``
+takes for it, no-break spaces included; without any marked page the skins are filled with a fixed sentence; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -22,7 +23,7 @@ import html as entities
 import random
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,32 +54,87 @@ CUES = frozenset(
     "cookie cookies subscribe newsletter login register share comment comments reply advertisement sponsored privacy terms copyright rights "
     "menu search related more consent accept sign posted".split()
 )
-_MARKUP = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S
-)
+#: Where markup may start, the name of a tag, and what matters inside a tag.
+_START, _NAME, _SPECIAL = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])"), re.compile(r"[^\s/>]*"), re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+#: Elements that say nothing about their content.
+PLAIN = frozenset("html body b i em strong span u font small".split())
+
+
+class Node:
+    """An open element, linked to the one around it. ``fresh`` are the features that no element around it has."""
+
+    __slots__ = ("parent", "tag", "names", "fresh", "last", "marked", "hidden")
+
+    def __init__(self, parent: Node | None, tag: str, names: tuple[str, ...], fresh: tuple[str, ...]):
+        self.parent, self.tag, self.names, self.fresh = parent, tag, names, fresh
+        above = parent.last if parent else ()
+        self.last = above if tag in PLAIN else (*above[-1:], tag)
+        self.marked = bool(names) or tag in OUTSIDE or (parent is not None and parent.marked)
+        self.hidden = tag in ("head", "title") or (parent is not None and parent.hidden)
+
+    def path(self) -> list[Node]:
+        """From the outermost element to this one."""
+        found, node = [], self
+        while node is not None:
+            found.append(node)
+            node = node.parent
+        return found[::-1]
+
+
 class Block:
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "node", "linked")
+
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
+
+def _tag_ends(page: str) -> Callable[[int], int]:
+    """A function from the end of a tag's name to its closing bracket.
+
+    That is the first one outside of quotes, or the very first where the quotes do not close. Places from which
+    quotes were found not to close are remembered, so a page of such tags is passed over once for each place.
+    """
+    final = {c: page.rfind(c) for c in "\"'>"}
+    open_ended: set[int] = set()
+
+    def end_of(name_end: int) -> int:
+        at, passed = name_end, []
+        while at <= final[">"]:
+            m = _SPECIAL.search(page, at)
+            mark, start = m.group(), m.start()
+            if mark == ">":
+                return start
+            if start == final[mark]:
+                break
+            at = page.find(mark, start + 1) + 1
+            if at in open_ended:
+                break
+            passed.append(at)
+        open_ended.update(passed)
+        return page.find(">", name_end)
+
+    return end_of
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order; ``path`` holds (tag, names) of the open elements, outermost first."""
+    """Leaf blocks in page order, each with the innermost element it stands in; one pass over the page."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[Node, list[str]]] = []
+    held: dict[str, int] = defaultdict(int)  # features of the open elements
+    opened: dict[str, int] = defaultdict(int)  # open elements by tag
+    blocks_at: list[int] = []  # places of block elements in the stack
     parts: list[str] = []
     state = {"links": 0, "linked": 0, "silent": 0}
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
-        if text:
-            path = tuple(stack)
-            found.append(Block(text, path, min(len(text), state["linked"])))
+        node = stack[-1][0] if stack else None
+        if text and not (node and node.hidden):
+            found.append(Block(text, node, min(len(text), state["linked"])))
         parts.clear()
         state["linked"] = 0
 
@@ -89,80 +145,96 @@ def blocks_of(page: str) -> list[Block]:
             if state["links"]:
                 state["linked"] += len(data.strip())
 
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        own = ([] if tag in PLAIN else [f"in:{tag}"]) + [f"name:{n}" for n in dict.fromkeys(names)]
+        node = Node(stack[-1][0] if stack else None, tag, names, tuple(f for f in own if not held[f]))
+        for f in own:
+            held[f] += 1
+        opened[tag] += 1
+        if tag in BLOCKS:
+            blocks_at.append(len(stack))
+        stack.append((node, own))
+        state["links"] += tag == "a"
+        state["silent"] += tag in SILENT
+
     def drop(size: int) -> None:
         while len(stack) > size:
-            tag, _ = stack.pop()
-            state["links"] -= tag == "a"
-            state["silent"] -= tag in SILENT
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
+            node, own = stack.pop()
+            for f in own:
+                held[f] -= 1
+            opened[node.tag] -= 1
+            if node.tag in BLOCKS:
+                blocks_at.pop()
+            state["links"] -= node.tag == "a"
+            state["silent"] -= node.tag in SILENT
+
+    end_of, last_end = _tag_ends(page), page.rfind(">")
+    at = said = 0
+    while (m := _START.search(page, at)) is not None:
+        start, opening, tag = m.start(), m.group(), ""
+        if opening == "<!--":
+            at = page.find("-->", m.end()) + 3
+            at = at if at > 2 else len(page)
+        elif start > last_end:  # no tag ends any more, but comments still may
+            at = m.end()
+            continue
+        elif opening in ("<!", "<?"):
+            at = page.find(">", m.end()) + 1
+        else:
+            name = _NAME.match(page, m.end() - 1)
+            stop = end_of(name.end())
+            tag, attributes, at = name.group().lower(), page[name.end() : stop], stop + 1
+        say(page[said:start])
+        said = at
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    drop(k)
-                    break
+        if opening[1] == "/":
+            if opened[tag]:
+                drop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0].tag == tag))
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(tag, ()):
-                drop(k)
-                break
-            if stack[k][0] in BLOCKS:
-                break
+        if blocks_at and stack[blocks_at[-1]][0].tag in CLOSES.get(tag, ()):
+            drop(blocks_at[-1])
         if tag in VOID:
             continue
         if tag in ("script", "style", "textarea"):  # their content has no tags
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             if stop is None:
+                said = len(page)
                 break
-            at = page.find(">", stop.start()) + 1 or end
+            at = said = page.find(">", stop.start()) + 1 or len(page)
             continue
         if attributes.rstrip().endswith("/") and tag in SILENT:
             continue
-        names = tuple(w for g in _NAMED.findall(attributes) for w in _WORD.findall("".join(g).lower()))
-        stack.append((tag, names))
-        state["links"] += tag == "a"
-        state["silent"] += tag in SILENT
+        push(tag, tuple(w for g in _NAMED.findall(attributes) for w in _WORD.findall("".join(g).lower())))
+    say(page[said:])
     flush()
-    return [b for b in found if not any(t in ("head", "title") for t, _ in b.path)]
+    return found
 
 
 def _size(n: int, steps: tuple[int, ...]) -> int:
     return sum(n >= s for s in steps)
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
-    """Names of the features that each block has."""
-    seen: dict[tuple, list[str]] = {}
+def _place(node: Node | None) -> list[str]:
+    """Features of the innermost elements and of the whole path, which are not handed down."""
+    last = node.last if node else ()
+    return [f"last:{'>'.join(last[-1:])}", f"two:{'>'.join(last)}", "marked" if node and node.marked else "plain"]
+
+
+def own_features(blocks: list[Block]) -> list[list[str]]:
+    """Names of the features that each block has by its text and place in the page."""
     rows = []
     for i, b in enumerate(blocks):
-        above = seen.get(b.path)
-        if above is None:
-            tags = [t for t, _ in b.path if t not in ("html", "body", "b", "i", "em", "strong", "span", "u", "font", "small")]
-            names = {n for _, ns in b.path for n in ns}
-            above = [f"in:{t}" for t in set(tags)] + [f"name:{n}" for n in names] + [f"last:{'>'.join(tags[-1:])}", f"two:{'>'.join(tags[-2:])}"]
-            above.append("plain" if not names and not set(tags) & OUTSIDE else "marked")
-            seen[b.path] = above
         words = b.text.split()
         size = _size(len(words), (2, 4, 8, 16, 32, 64))
         share = _size(10 * b.linked // len(b.text), (1, 4, 8))
-        row = [*above, f"size:{size}", f"links:{share}", f"size:{size}:links:{share}", f"end:{b.text[-1] in '.!?:…\"”»'}:{size > 2}"]
-        row += [f"cue:{w}" for w in CUES.intersection(_WORD.findall(b.text.lower()))] if len(words) < 40 else []
+        row = [f"size:{size}", f"links:{share}", f"size:{size}:links:{share}", f"end:{b.text[-1] in '.!?:…\"”»'}:{size > 2}"]
+        row += [f"cue:{w}" for w in sorted(CUES.intersection(_WORD.findall(b.text.lower())))] if len(words) < 40 else []
         if any(c in b.text for c in "©®·|»"):
             row.append("sign")
         if i == 0:
@@ -174,6 +246,12 @@ def features(blocks: list[Block]) -> list[list[str]]:
     return rows
 
 
+def features(blocks: list[Block]) -> list[list[str]]:
+    """All features of each block, those of its elements first; for learning, where pages are bounded."""
+    rows = own_features(blocks)
+    return [[*(f for n in (b.node.path() if b.node else ()) for f in n.fresh), *_place(b.node), *row] for b, row in zip(blocks, rows, strict=True)]
+
+
 class Chain:
     """A two-label linear-chain field: weights per feature (for label 1 against 0) and per pair of labels."""
 
@@ -185,9 +263,31 @@ class Chain:
         get = self.weights.get
         return [sum([get(f, 0.0) for f in row]) for row in rows]
 
+    def block_scores(self, blocks: list[Block]) -> list[float]:
+        """Summed weights of all features of each block; what elements hand down is summed once for each of them."""
+        get = self.weights.get
+        down: dict[Node | None, float] = {None: 0.0}
+        here: dict[Node | None, float] = {}
+        scores = []
+        for b, own in zip(blocks, self._unary(own_features(blocks)), strict=True):
+            if b.node not in here:
+                climb, node = [], b.node
+                while node not in down:
+                    climb.append(node)
+                    node = node.parent
+                for node in reversed(climb):
+                    down[node] = down[node.parent] + sum([get(f, 0.0) for f in node.fresh])
+                here[b.node] = down[b.node] + sum([get(f, 0.0) for f in _place(b.node)])
+            scores.append(here[b.node] + own)
+        return scores
+
     def decode(self, rows: list[list[str]]) -> list[int]:
-        """The likeliest labels, by Viterbi."""
-        unary, pairs, back = self._unary(rows), self.pairs, []
+        """The likeliest labels of rows of features."""
+        return self.viterbi(self._unary(rows))
+
+    def viterbi(self, unary: list[float]) -> list[int]:
+        """The likeliest labels of blocks with these scores."""
+        pairs, back = self.pairs, []
         a0, a1 = 0.0, unary[0]
         for u in unary[1:]:
             s00, s10, s01, s11 = a0 + pairs[0][0], a1 + pairs[1][0], a0 + pairs[0][1], a1 + pairs[1][1]
@@ -245,9 +345,10 @@ def marked_labels(blocks: list[Block]) -> list[int]:
     """Labels of a page that marks its article: inside it and in nothing that stands beside the text."""
     labels = []
     for b in blocks:
-        tags = [t for t, _ in b.path]
+        path = b.node.path() if b.node else []
+        tags = [n.tag for n in path]
         inside = next((k for k, t in enumerate(tags) if t in ("article", "main")), None)
-        labels.append(int(inside is not None and not OUTSIDE & set(tags[inside:]) and not BESIDE & {n for _, ns in b.path[inside + 1 :] for n in ns}))
+        labels.append(int(inside is not None and not OUTSIDE & set(tags[inside:]) and not BESIDE & {w for n in path[inside + 1 :] for w in n.names}))
     return labels
 
 
@@ -339,7 +440,7 @@ def train(pages: list[str]) -> Chain:
         labels = marked_labels(blocks)
         if blocks and sum(labels):
             examples.append((features(blocks), labels))
-            mains.append([(b.path[-1][0] if b.path and b.path[-1][0] in ("h1", "h2", "h3", "p", "li", "blockquote") else "p", b.text) for b, y in zip(blocks, labels, strict=True) if y])
+            mains.append([(b.node.tag if b.node and b.node.tag in ("h1", "h2", "h3", "p", "li", "blockquote") else "p", b.text) for b, y in zip(blocks, labels, strict=True) if y])
     if not mains:
         mains = [[("h1", "A plain heading")] + [("p", "This is a sentence of the text, and here it ends. " * k) for k in (1, 3, 2, 5)]] * 60
     pool = [s for main in mains for _, text in main for s in re.split(r"(?<=[.!?]) ", text) if s.strip()]
@@ -355,7 +456,7 @@ def main_text(chain: Chain, page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    return "\n\n".join(b.text for b, y in zip(blocks, chain.decode(features(blocks)), strict=True) if y)
+    return "\n\n".join(b.text for b, y in zip(blocks, chain.viterbi(chain.block_scores(blocks)), strict=True) if y)
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Chain:

@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -49,6 +51,33 @@ def test_broken_markup():
     assert text("</div></p>" * 100 + "x" + "<div>" * 5_000 + "y") == ["x", "y"]
 
 
+@pytest.mark.parametrize("page", [
+    '<a "' * 250_000, '<a ">"' * 160_000, "<b>" * 160_000 + "</p>" * 130_000, "<b>" * 160_000 + "<div></div>" * 45_000, "<a" * 500_000, "<!" * 500_000,
+    "<div>x" * 160_000, "".join(f"<div class=c{k}>x" for k in range(60_000)),
+], ids=["quotes", "brackets in quotes", "closes", "blocks under inline elements", "names", "declarations", "nested", "nested classes"])
+def test_time_and_memory_follow_the_page(page):
+    chain = extraction.Chain()
+    chain.weights = {"bias": 1.0, "in:div": 0.5, "name:c": 0.1}
+    spent = time.process_time()
+    extraction.main_text(chain, page)
+    assert time.process_time() - spent < 15  # 2 to 5 seconds; what was quadratic took hours
+    tracemalloc.start()
+    extraction.blocks_of(page[:200_000])
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_scores_of_blocks_are_sums_of_their_features():
+    rng = random.Random(8)
+    for k in range(20):
+        blocks = extraction.blocks_of(page(k)[0])
+        rows = extraction.features(blocks)
+        chain = extraction.Chain()
+        chain.weights = {f: rng.uniform(-1, 1) for f in sorted({f for row in rows for f in row})}
+        assert chain.block_scores(blocks) == pytest.approx([sum(chain.weights[f] for f in row) for row in rows])
+        assert all(len(set(row)) == len(row) for row in rows)
+
+
 def test_viterbi_is_the_best_labelling():
     rng, chain = random.Random(5), extraction.Chain()
     chain.weights = {f: rng.uniform(-2, 2) for f in "abcdef"}
