@@ -58,11 +58,67 @@ def test_cutoffs_are_certified(spark):
     # a language without enough labels has no cutoffs
     assert kept[9_000] and kept[9_001] and not kept[9_002] and not kept[9_003]
     used = quality.cutoffs(quality.features(docs), known).collect()
-    assert {r["stratum"] for r in used} == {"en", ""} and all(r["p"] <= quality.LEVEL / len(quality.RULES) / 3 for r in used)
+    assert {r["stratum"] for r in used} == {"en", None} and all(r["p"] <= quality.LEVEL / len(quality.RULES) / 3 for r in used)
     none = quality.judge(docs, known.where("false")).where("kept").count()
     assert none == 3_003
 
 
+def plain_cutoffs(measured, labels):
+    """The selection in plain loops: {(stratum, rule): cutoff}."""
+    trials = {}
+    for r in measured:
+        failed = r["n_words"] < quality.MIN_WORDS or 100 * r["n_repeat_words"] > quality.MAX_REPEAT_PERCENT * r["n_words"]
+        for good in labels.get(r["doc_id"], []) if not failed else []:
+            key = (r["lang"], r["text"] or "")
+            trials[key] = (trials.get(key, (True,))[0] and good, r)
+    strata, used = {lang for lang, _ in trials}, {}
+    for lang in strata:
+        for rule, steps in quality.RULES.items():
+            part, whole = quality.SHARES[rule]
+            best = None
+            for step, cutoff in enumerate(steps):
+                hit = [(good, r[part] / r[whole] >= cutoff if r[whole] else cutoff <= 0) for (of, _), (good, r) in trials.items() if of == lang]
+                n, k, caught = sum(g for g, _ in hit), sum(g and h for g, h in hit), sum(h and not g for g, h in hit)
+                p = quality.MAX_REJECT / len(quality.RULES)
+                tail = 1.0 if k >= n * p else sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+                if tail > quality.LEVEL / len(quality.RULES) / len(strata):
+                    break
+                if caught and (best is None or caught - k > best[0]):
+                    best = (caught - k, cutoff)
+            if best:
+                used[lang, rule] = best[1]
+    return used
+
+
+def test_kept_is_the_plain_selection(spark):
+    rng = random.Random(5)
+    rows, labels = [], {}
+    for k in range(4_000):
+        good = rng.random() < 0.75
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(15, 60))]
+        for i in range(len(words)):
+            if rng.random() < (0.01 if good else 0.3):
+                words[i] = rng.choice(["%%%%", words[i - 1], "\n" + words[0] + "\n"])
+        rows.append(row(k, " ".join(words), rng.choice(["en", "en", None, None, ""])))
+        labels[k] = [good]
+    # copies are one trial, a contradicting label makes it a bad one
+    rows += [row(10_000 + k, rows[3][1], rows[3][2]) for k in range(500)]
+    labels |= {10_000 + k: [True] for k in range(500)}
+    labels[5] = [True, False]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([(k, int(g)) for k, gs in labels.items() for g in gs], "doc_id bigint, quality int")
+    texts = {r["doc_id"]: (r["text"], r["lang"]) for r in docs.collect()}
+    measured = [r.asDict() | dict(zip(("text", "lang"), texts[r["doc_id"]], strict=True)) for r in quality.features(docs).collect()]
+    want = plain_cutoffs(measured, labels)
+    assert len({lang for lang, _ in want}) > 1
+    assert {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.cutoffs(quality.features(docs), known).collect()} == want
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, known).collect()}
+    for r in measured:
+        failed = r["n_words"] < quality.MIN_WORDS or 100 * r["n_repeat_words"] > quality.MAX_REPEAT_PERCENT * r["n_words"]
+        rejected = any((r[a] / r[b] if r[b] else 0) >= want.get((r["lang"], rule), 2) for rule, (a, b) in quality.SHARES.items())
+        assert kept[r["doc_id"]] == (not failed and not rejected)
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("the ing re an on er st nd ea ti or es".split()) for _ in range(rng.randint(1, 4)))
