@@ -10,10 +10,10 @@ the title; addresses of one domain stay together.
 
 Collision checks: all different entities are listed once (counts combined before their shuffle). A surrogate
 that equals an entity of the corpus, or that of another entity of its kind, is drawn again with the next attempt
-number until none is left. From attempt IN_FORM (IN_FORM_NAMES for given names) the form grows by a character or syllable
+number until none is left; a round looks at the colliding ones only. From attempt IN_FORM (IN_FORM_NAMES for given names) the form grows by a character or syllable
 an attempt, so entities that fill their form get surrogates too. Words behind a given name are entities of a kind of their own,
 "family", and have one surrogate in all names; only given names are drawn again. Only redrawn entities, a small
-table, are joined back to the documents that hold them.
+table, are joined back to the documents that hold them, entities of many documents by a bounded broadcast.
 
 Defined results: null texts stay null and have no entity, empty ones stay empty; texts of any length are
 searched whole; repeated rows change alike; an empty table gives an empty result; all other columns are passed on as
@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import stored
+from tagloom.llm.common import join_groups, stored
+from tagloom.session import scratch_folder
 
 #: A name of a secret with what stands before its value.
 KEYED = r"(?i:password|passwd|pwd|secret|token|api_key)"
@@ -214,21 +215,33 @@ def _words(kind: Column, canon: Column) -> Column:
 
 
 def _drawn_apart(listed: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempt, families) of all entities, with attempts whose surrogates do not collide.
+    """(kind, canon, attempt, families) of entities with an attempt above 0 or with families: then no surrogates collide.
 
     It ends: the surrogates of an extended form grow until all places of a digest count.
     """
-    drawn = stored(_with_surrogate(listed.withColumn("attempt", F.lit(0)), key), "drawn")
-    originals = listed.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
+    spark, folders = listed.sparkSession, []
+    lost = listed.withColumn("attempt", F.lit(0))
     while True:
-        # the least attempt and canonical form keeps a surrogate that several drew
-        firsts = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("drawn"))
-        real = firsts.join(originals, ["kind", "new"], "left").where("drawn > 1 OR real").select("kind", "new", "first", F.coalesce("real", F.lit(False)).alias("real"))
-        bad = stored(drawn.join(real, ["kind", "new"]).where("real OR canon <> first.canon").select("kind", "canon", "attempt", "families"), "collisions")
-        if bad.isEmpty():
-            return drawn.select("kind", "canon", "attempt", "families")
-        again = _with_surrogate(bad.withColumn("attempt", F.col("attempt") + 1), key)
-        drawn = stored(drawn.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "drawn")
+        round_ = _with_surrogate(lost, key)
+        folders.append(scratch_folder(spark, "drawn"))
+        round_.write.parquet(folders[-1])
+        read = spark.read.schema(round_.schema)
+        drawn = read.parquet(folders[-1])
+        # whatever was drawn before stays taken: by the entity that keeps it, or by an original
+        taken = listed.select("kind", F.col("canon").alias("new"))
+        if folders[:-1]:
+            taken = taken.unionByName(read.parquet(*folders[:-1]).select("kind", "new"))
+        # the least canonical form keeps a surrogate that several drew in one attempt
+        firsts = drawn.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count("*").alias("drawn"))
+        held = firsts.join(taken, ["kind", "new"]).select("kind", "new", F.lit(True).alias("held")).distinct()
+        shared = firsts.join(held, ["kind", "new"], "left").where("drawn > 1 OR held")
+        lost = drawn.join(shared, ["kind", "new"]).where("held OR canon <> first")
+        lost = stored(lost.select("kind", "canon", (F.col("attempt") + 1).alias("attempt"), "families"), "collisions")
+        if lost.isEmpty():
+            break
+    last = F.max_by(F.struct("attempt", "families"), "attempt").alias("last")
+    drawn = read.parquet(*folders).where("attempt > 0 OR families IS NOT NULL")
+    return drawn.groupBy("kind", "canon").agg(last).select("kind", "canon", "last.*")
 
 
 def redrawn(listed: DataFrame, key: str) -> DataFrame:
@@ -238,10 +251,10 @@ def redrawn(listed: DataFrame, key: str) -> DataFrame:
     """
     nothing = F.lit(None).cast("map<string,int>").alias("families")
     words = listed.select(F.explode(_words(F.col("kind"), F.col("canon"))).alias("canon")).distinct().select(F.lit("family").alias("kind"), "canon", nothing)
-    again = stored(_drawn_apart(words, key).where("attempt > 0").select(F.col("canon").alias("word"), F.col("attempt").alias("tried")), "families")
+    again = stored(_drawn_apart(words, key).select(F.col("canon").alias("word"), F.col("attempt").alias("tried")), "families")
     named = listed.select("kind", "canon", F.explode(F.array_distinct(_words(F.col("kind"), F.col("canon")))).alias("word")).join(again, "word")
     named = named.groupBy("kind", "canon").agg(F.map_from_entries(F.collect_list(F.struct("word", "tried"))).alias("families"))
-    return _drawn_apart(listed.join(named, ["kind", "canon"], "left"), key).where("attempt > 0 OR families IS NOT NULL")
+    return _drawn_apart(listed.join(named, ["kind", "canon"], "left"), key)
 
 
 def _may_hold(text: Column) -> Column:
@@ -264,11 +277,12 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
         F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)).alias("found"),
     )
     hits = stored(hits, "hits")
-    listed = hits.select(F.explode("found").alias("entity")).groupBy("entity").count().withColumn("kind", _kind(F.col("entity")))
-    forms = stored(listed.select("entity", "kind", _canonical(F.col("kind"), F.col("entity")).alias("canon")), "forms")
+    listed = hits.select(F.explode("found").alias("entity")).groupBy("entity").agg(F.count("*").alias("held")).withColumn("kind", _kind(F.col("entity")))
+    forms = stored(listed.select("entity", "held", "kind", _canonical(F.col("kind"), F.col("entity")).alias("canon")), "forms")
     later = stored(redrawn(forms.select("kind", "canon").distinct(), key), "redrawn")
-    by_form = later.join(forms, ["kind", "canon"]).select("entity", F.struct("attempt", "families").alias("attempt"))
-    attempts = hits.select("place", F.explode("found").alias("entity")).distinct().join(by_form, "entity").groupBy("place").agg(
+    by_form = stored(later.join(forms, ["kind", "canon"]).select("entity", "held", F.struct("attempt", "families").alias("attempt")), "by_form")
+    # an entity may stand in most documents
+    attempts = join_groups(hits.select("place", F.explode(F.array_distinct("found")).alias("entity")), by_form, "entity", "held").groupBy("place").agg(
         F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("attempts")
     )
     # each step is an array of its own, so nothing is computed again for every character
