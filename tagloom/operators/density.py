@@ -180,11 +180,12 @@ def cluster_density(
     features: DataFrame, key: str = "asset_id", min_cluster_size: int = 5, levels: int = 32, dims: int = 50, rounds: int = 1
 ) -> DataFrame:
     """``(key, label)``: clusters of at least a size, numbered by first key; -1 is noise."""
+    n = features.count()
+    if n < 2 * min_cluster_size:  # a cluster parts from another one of that size, so all is noise
+        return features.select(key, F.lit(-1).alias("label"))
     slim = reduce_pca(features.select(key, "vec"), dims)
     nodes = materialize(number_rows(slim, [F.col(key)], "id"))
-    first, n = nodes.select(F.size("vec").alias("d")).first(), nodes.count()
-    if n < min_cluster_size:
-        return features.select(key, F.lit(-1).alias("label"))
+    first = nodes.select(F.size("vec").alias("d")).first()
     cells = _cells(nodes, n, first["d"])
     found = neighbours(nodes, cells, max(min_cluster_size, LISTED), rounds)
     cores = materialize(_cores(found, min_cluster_size))

@@ -131,6 +131,19 @@ def test_fallback(spark):
         D.cluster_fallback(df.limit(1))
 
 
+def test_no_cluster_of_more_than_half_is_searched(spark, monkeypatch):
+    """Two groups of more than half of all vectors don't exist: no lists of as many neighbours are made."""
+    def fail(*_, **__):
+        raise AssertionError("neighbours are listed")
+
+    x = np.concatenate([np.random.default_rng(c).normal(20 * c, 0.1, (10, 2)) for c in range(2)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "asset_id long, vec array<double>")
+    assert {r.label for r in D.cluster_density(df, min_cluster_size=10).collect()} == {0, 1}
+    assert direct(x, 11) == set()
+    monkeypatch.setattr(D, "neighbours", fail)
+    assert sorted((r.asset_id, r.label) for r in D.cluster_density(df, min_cluster_size=11).collect()) == [(i, -1) for i in range(20)]
+
+
 def test_components(spark):
     edges = [(0, i, i + 1) for i in range(30)] + [(0, 50, 40), (0, 40, 45), (1, 3, 9)]
     df = spark.createDataFrame(edges, "grp int, a long, b long")
