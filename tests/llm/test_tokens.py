@@ -111,3 +111,12 @@ def test_packed_rows(docs, rows, empty, shard):
         tokens = sum(r["length"] for r in got)
         assert len(sequences) <= -(-tokens // packing.SEQUENCE) + 1
     assert packing.pack(packing.pieces(empty, RANKS, public_tokenizers.PATTERN)).collect() == []
+
+
+def test_short_and_long_merges_agree():
+    """Both ways of merging, around the length where one gives way to the other."""
+    rng = random.Random(8)
+    for n in (1, 2, 3, bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1, 90):
+        for letters in (b"a", b"ab", b"thernigos", bytes(range(256))):
+            word = bytes(rng.choice(letters) for _ in range(n))
+            assert VOCABULARY.merge_short(word) == VOCABULARY.merge_long(word) == VOCABULARY.merge(word)
