@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.skew import join_heavy
+from tagloom.operators.skew import join_frequent, join_heavy
 
+#: A tag with more than one in so many of all tags is frequent; there are no more frequent tags than that.
+FREQUENT_SHARE = 1 << 18
 
-def join_translations(tags: DataFrame, translations: DataFrame, lang: str, on: str = "tag") -> DataFrame:
-    """Each tag with its translation or null; tags on most rows don't move."""
+
+def frequent_tags(dictionary: DataFrame, on: str = "tag") -> DataFrame:
+    """Tags of a dictionary with a large share of its counts."""
+    total = dictionary.agg(F.sum("post_count")).first()[0] or 0
+    return dictionary.where(F.col("post_count") > total / FREQUENT_SHARE).select(F.col("name").alias(on))
+
+
+def join_translations(tags: DataFrame, translations: DataFrame, lang: str, on: str = "tag", frequent: DataFrame | None = None) -> DataFrame:
+    """Each tag with its translation or null; tags on most rows don't move.
+
+    These are found by a pass over ``tags`` unless ``frequent`` (a column ``on``, of bounded size) names them.
+    """
     words = translations.where(F.col("lang") == lang).select(F.col("tag").alias(on), "translated")
-    return join_heavy(tags, words, on)
+    return join_heavy(tags, words, on) if frequent is None else join_frequent(tags, words, on, frequent)
 
 
 def untranslated_tags(dictionary: DataFrame, translations: DataFrame, lang: str) -> DataFrame:
@@ -20,17 +32,18 @@ def untranslated_tags(dictionary: DataFrame, translations: DataFrame, lang: str)
     return dictionary.join(known, "name", "left_anti")
 
 
-def split_cache_hits(requests: DataFrame, translations: DataFrame, lang: str) -> DataFrame:
+def split_cache_hits(requests: DataFrame, translations: DataFrame, lang: str, frequent: DataFrame | None = None) -> DataFrame:
     """Requested tags with the cached translation; repeats and positions are kept."""
-    return join_translations(requests, translations, lang).withColumn("hit", F.col("translated").isNotNull())
+    return join_translations(requests, translations, lang, frequent=frequent).withColumn("hit", F.col("translated").isNotNull())
 
 
-def cache_counts(split: DataFrame) -> DataFrame:
-    """Distinct tags found in the cache, and requests still to translate."""
-    return split.agg(
-        F.count_distinct(F.when(F.col("hit"), F.col("tag"))).alias("cached_count"),
-        F.count_if(~F.col("hit")).alias("uncached_count"),
-    )
+def cache_counts(split: DataFrame, times: str | None = None) -> DataFrame:
+    """Distinct tags found in the cache, and requests still to translate.
+
+    With ``times``, a column of that name says how many requests a row stands for.
+    """
+    missing = F.count_if(~F.col("hit")) if times is None else F.coalesce(F.sum(F.when(~F.col("hit"), F.col(times))), F.lit(0))
+    return split.agg(F.count_distinct(F.when(F.col("hit"), F.col("tag"))).alias("cached_count"), missing.cast("long").alias("uncached_count"))
 
 
 def upsert_translations(current: DataFrame, changes: DataFrame) -> DataFrame:

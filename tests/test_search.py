@@ -28,3 +28,51 @@ def test_many_queries_are_as_one_by_one(spark):
         ranked = [(r.name, r.stage, r.post_count) for r in R.search_tags(dictionary, q, 3).collect()]
         assert [(r.name, r.stage, r.post_count) for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == q] == ranked
     assert R.search_tags_many(dictionary, dictionary.select(F.col("name").alias("query")).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["join_translations", "cache_counts", "translate_tags", "read_files"])
+def test_words_are_counted_once(spark, name):
+    assert "documents.parquet" not in plan_of(entry.queries()[name](spark, SF))
+
+
+def test_hits_are_split_without_a_pass_for_heavy_tags(spark, monkeypatch):
+    from tagloom.operators import skew
+
+    monkeypatch.setattr(skew, "heavy_hashes", lambda *a: pytest.fail("the words were read for heavy ones"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(entry.queries()["split_cache_hits"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plan
+
+
+def test_frequent_join_is_the_plain_one(spark):
+    from tagloom.operators.skew import join_frequent
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2_000).select("id", F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 10 < 8, "b").when(F.col("id") % 10 < 9, "c").alias("tag"))
+        side = spark.createDataFrame([("a", "1"), ("a", "2"), ("c", "3"), ("z", "4")], "tag string, translated string")
+        frequent = spark.createDataFrame([("a",), ("b",)], "tag string")  # b has no translation
+        got = join_frequent(rows, side, "tag", frequent)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(side, "tag", "left").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_requests_counted_first_give_the_same_counts(spark):
+    from tagloom.operators import maintenance as M
+
+    rows = spark.createDataFrame([("a", True), ("a", True), ("b", False), ("b", False), ("c", True)], "tag string, hit boolean")
+    whole = rows.groupBy("tag", "hit").agg(F.count("*").alias("n"))
+    assert M.cache_counts(whole, "n").collect() == M.cache_counts(rows).collect()
+    assert M.cache_counts(whole.limit(0), "n").first() == (0, 0)
+
+
+def test_dictionary_files_are_not_written_by_one_task(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "coalesce", lambda *a: pytest.fail("all lines go through one task"))
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda *a: pytest.fail("all lines go through one task"))
+    assert entry.queries()["read_files"](spark, SF).count() > 0
