@@ -221,7 +221,7 @@ def translate_tags(
     """
     asked = tags.select("tag").where("tag is not null").distinct()
     known = translations.where(F.col("lang") == lang).select("tag", "translated")
-    todo = asked.join(known, "tag", "left_anti")
+    todo = materialize(asked.join(known, "tag", "left_anti"))  # numbering reads it several times
     numbered = chunk_rows(todo, [F.col("tag")], size)
     batches = numbered.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("position", "tag"))).alias("rows"))
     batches = batches.select("chunk", F.transform("rows", lambda r: r["tag"]).alias("tags"))
