@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -120,3 +121,32 @@ def test_short_and_long_merges_agree():
         for letters in (b"a", b"ab", b"thernigos", bytes(range(256))):
             word = bytes(rng.choice(letters) for _ in range(n))
             assert VOCABULARY.merge_short(word) == VOCABULARY.merge_long(word) == VOCABULARY.merge(word)
+
+
+def test_words_merge_together_as_one_by_one():
+    """Words of all lengths in one call, repeated and of one byte, equal pairs side by side; ``merge_all`` also takes long ones."""
+    rng = random.Random(9)
+    words = [bytes(rng.choice(letters) for _ in range(n)) for n in range(1, bpe.SHORT + 1) for letters in (b"a", b"ab", b"thernigos", bytes(range(256))) for _ in range(5)]
+    rng.shuffle(words)
+    assert VOCABULARY.merge_together(words) == [VOCABULARY.merge_long(w) for w in words]
+    assert VOCABULARY.merge_together([]) == []
+    words[3:3] = [b"ab" * bpe.SHORT, words[0]]
+    assert VOCABULARY.merge_all(words) == [VOCABULARY.merge_long(w) for w in words]
+
+
+def test_pairs_make_the_tokens_that_the_ranks_name():
+    rng, ranks = random.Random(10), VOCABULARY.ranks
+    pairs = [(rng.randrange(len(TOKENS)), rng.randrange(300)) for _ in range(3_000)]
+    pairs += [(ranks[t[:i]], ranks[t[i:]]) for t in TOKENS[::17] for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    left, right = np.array(pairs).T
+    assert VOCABULARY.joined.ranks(left, right).tolist() == [ranks.get(TOKENS[a] + TOKENS[b], len(TOKENS)) for a, b in pairs]
+
+
+def test_ascii_texts_are_split_by_the_same_pattern():
+    """All pairs and many runs of ASCII characters, control characters included."""
+    rng, split = random.Random(11), bpe.for_ascii(public_tokenizers.PATTERN)
+    letters = [chr(i) for i in range(128)]
+    texts = [a + b + c for a in letters for b in letters for c in ("", "a", " 1")]
+    texts += ["".join(rng.choices(letters + list(" \n's  reAB12") * 20, k=rng.randint(1, 60))) for _ in range(5_000)]
+    assert all(split.findall(t) == VOCABULARY.split.findall(t) for t in texts)
+    assert bpe.for_ascii(r"(?i)a|\p{Lu}") is None and bpe.for_ascii(r"[^\S]") is None
