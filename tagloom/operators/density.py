@@ -9,7 +9,8 @@ completed by the neighbours of neighbours, over joins, so that a cell's border c
 nothing off.  Trees and lists make one sparse graph.  Clusters are
 followed through the graph's components at a series of distances, and those
 with the greatest excess of mass are kept; a split is seen if a level lies between its
-distances.  The path is the same at every size: with at most CELL vectors there is
+distances.  Before the components are joined up, a task connects the edges that the vectors of a
+cell own and gives one link per vector and level, not all edges of a level.  The path is the same at every size: with at most CELL vectors there is
 one cell, and neighbours and tree are exact.
 """
 
@@ -112,7 +113,10 @@ def _cores(found: DataFrame, k: int) -> DataFrame:
 
 
 def _edges(nodes: DataFrame, cells: DataFrame, found: DataFrame, cores: DataFrame) -> DataFrame:
-    """``(a, b, w)``: a minimum spanning tree of mutual reachability in every cell, and the listed neighbours."""
+    """``(a, b, own, w)``: a minimum spanning tree of mutual reachability in every cell, and the listed neighbours.
+
+    ``own`` is the end that listed the other one or was the later one of a tree, so a vector owns a bounded number.
+    """
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, core = pdf["id"].to_numpy(), pdf["core"].to_numpy()
@@ -129,7 +133,7 @@ def _edges(nodes: DataFrame, cells: DataFrame, found: DataFrame, cores: DataFram
             nearer = outside & (reach < best)
             best[nearer], link[nearer] = reach[nearer], at
             at = int(np.argmin(best))
-            rows.append((ids[link[at]], ids[at], best[at]))
+            rows.append((ids[at], ids[link[at]], best[at]))
         return pd.DataFrame(rows, columns=["p", "q", "w"])
 
     known = nodes.select("id", "vec").join(cores, "id")
@@ -137,7 +141,35 @@ def _edges(nodes: DataFrame, cells: DataFrame, found: DataFrame, cores: DataFram
     ends = found.where("id <> other").join(cores, "id").join(cores.select(F.col("id").alias("other"), F.col("core").alias("far")), "other")
     listed = ends.select(F.col("id").alias("p"), F.col("other").alias("q"), F.greatest("d", "core", "far").alias("w"))
     both = edges.unionByName(listed)
-    return both.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("w").alias("w"))
+    return both.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.max("p").alias("own"), F.min("w").alias("w"))
+
+
+def _links(edges: DataFrame, cells: DataFrame, trees: int, levels: int) -> DataFrame:
+    """``(grp, a, b)``: what connects at each level the same as all ``edges`` (a, b, own, from) that start at it or below.
+
+    Those owned in one cell of the first tree are connected in a task, level by level; of a level every vector
+    that is not the first of its part gives a link to that one.
+    """
+
+    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, places = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+        places, start = places.reshape(-1, 2), pdf["from"].to_numpy()
+        first, found = np.arange(len(ids)), []
+        for level in range(int(start.min()), levels):
+            u, v = first[places[start == level]].T
+            while (apart := u != v).any():  # the later part follows the earliest one that it meets
+                u, v = u[apart], v[apart]
+                np.minimum.at(first, np.maximum(u, v), np.minimum(u, v))
+                while (first[first] != first).any():
+                    first = first[first]
+                u, v = first[u], first[v]
+            inner = np.flatnonzero(first != np.arange(len(ids)))
+            found.append((np.full(len(inner), level, dtype=np.int32), ids[first[inner]], ids[inner]))
+        grp, a, b = map(np.concatenate, zip(*found, strict=True))
+        return pd.DataFrame({"grp": grp, "a": a, "b": b})
+
+    home = cells.where(F.col("cell") % trees == 0).select(F.col("id").alias("own"), "cell")
+    return edges.join(home, "own").select("cell", "a", "b", "from").groupBy("cell").applyInPandas(connect, "grp int, a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,10 +226,9 @@ def cluster_density(
     if not steps:
         return nodes.select(key, F.lit(-1).alias("label"))
 
-    at = F.explode(F.sequence(F.col("from"), F.lit(len(steps) - 1)))
     marks = F.lit(steps).cast("array<double>")
     from_level = F.size(F.filter(marks, lambda t: t < F.col("w")))
-    cut = edges.withColumn("from", from_level).select(at.alias("grp"), "a", "b")
+    cut = materialize(_links(edges.select("a", "b", "own", from_level.alias("from")), cells, forest_shape(n, CELL)[0], len(steps)))
     comps = materialize(components(cut).withColumnRenamed("grp", "level"))
     sizes = comps.groupBy("level", "comp").agg(F.count("*").alias("size")).where(F.col("size") >= min_cluster_size)
 

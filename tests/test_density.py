@@ -149,3 +149,28 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "grp int, a long, b long")
     got = {(r.grp, r.id): r.comp for r in D.components(df).collect()}
     assert got == {**{(0, i): 0 for i in range(31)}, (0, 40): 40, (0, 45): 40, (0, 50): 40, (1, 3): 3, (1, 9): 3}
+
+
+def test_links_connect_as_all_edges_do_and_are_few(spark):
+    """Random edges over two cells with a hub: the same components at every level, one link a vector, cell and level at most."""
+    rng = np.random.default_rng(6)
+    rows = [(int(min(p)), int(max(p)), int(max(p)), int(rng.integers(0, 4))) for p in rng.integers(0, 60, (400, 2)) if p[0] != p[1]]
+    rows += [(0, i, i, 2) for i in range(1, 60, 7)]
+    edges = spark.createDataFrame(rows, "a long, b long, own long, `from` int")
+    cells = spark.createDataFrame([(i % 2 * 2 + t, i) for i in range(60) for t in range(2)], "cell long, id long")
+    links = D.materialize(D._links(edges, cells, 2, 4))
+    every = edges.select(F.explode(F.sequence("from", F.lit(3))).alias("grp"), "a", "b")
+    assert sorted(map(tuple, D.components(links).collect())) == sorted(map(tuple, D.components(every).collect()))
+    assert links.groupBy("grp").count().agg(F.max("count")).first()[0] <= 2 * 59 < every.where("grp = 3").count()
+    assert all(r.a < r.b for r in links.collect())
+
+
+def test_equal_vectors_own_few_edges(spark):
+    """All copies list the same ones, which would own the edges of all if the smaller end did."""
+    x = np.concatenate([np.zeros((300, 3)), np.random.default_rng(2).normal(size=(40, 3))])
+    nodes = D.materialize(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"))
+    cells = D._cells(nodes, len(x), 3)
+    found = D.neighbours(nodes, cells, 9)
+    edges = D._edges(nodes, cells, found, D._cores(found, 5)).toPandas()
+    assert edges.groupby("own").size().max() <= 9 + 1
+    assert ((edges.own == edges.a) | (edges.own == edges.b)).all()
