@@ -122,19 +122,22 @@ def _edges(nodes: DataFrame, cells: DataFrame, found: DataFrame, cores: DataFram
         ids, core = pdf["id"].to_numpy(), pdf["core"].to_numpy()
         x = np.stack(pdf["vec"].to_numpy())
         n, sq = len(ids), (x * x).sum(axis=1)
+        # rows outside the tree are in front, each with its nearest one inside; a row that enters gives its place to the last
+        x, sq, core, row = x.copy(), sq.copy(), core.copy(), np.arange(n)
         best, link = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
-        outside = np.ones(n, dtype=bool)
-        rows, at = [], 0
-        for _ in range(n - 1):
-            outside[at] = False
-            best[at] = np.inf
-            reach = np.sqrt(np.maximum(sq + sq[at] - 2.0 * (x @ x[at]), 0.0))
-            reach = np.maximum(reach, np.maximum(core, core[at]))
-            nearer = outside & (reach < best)
-            best[nearer], link[nearer] = reach[nearer], at
-            at = int(np.argmin(best))
-            rows.append((ids[at], ids[link[at]], best[at]))
-        return pd.DataFrame(rows, columns=["p", "q", "w"])
+        p, q, w, at = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1), 0
+        for k in range(n - 1):
+            last = n - 1 - k
+            mine, mine_sq, mine_core, mine_row = x[at].copy(), sq[at], core[at], row[at]
+            for column in (x, sq, core, row, best, link):
+                column[at] = column[last]
+            reach = np.sqrt(np.maximum(sq[:last] + mine_sq - 2.0 * (x[:last] @ mine), 0.0))
+            reach = np.maximum(reach, np.maximum(core[:last], mine_core))
+            nearer = reach < best[:last]
+            best[:last][nearer], link[:last][nearer] = reach[nearer], mine_row
+            at = int(np.argmin(best[:last]))
+            p[k], q[k], w[k] = ids[row[at]], ids[link[at]], best[at]
+        return pd.DataFrame({"p": p, "q": q, "w": w})
 
     known = nodes.select("id", "vec").join(cores, "id")
     edges = cells.join(known, "id").groupBy("cell").applyInPandas(tree, "p long, q long, w double")
