@@ -25,10 +25,13 @@ from tagloom.session import materialize
 COPY_CHUNK = 8 << 20
 
 
+LOCAL = pafs.LocalFileSystem()
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        return LOCAL, "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (LOCAL, path)
 
 
 def _exists(path: str) -> bool:
@@ -38,9 +41,13 @@ def _exists(path: str) -> bool:
 
 def _put(path: str, pieces: Iterable[bytes]) -> None:
     files, inner = _open(path)
-    files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     part = f"{inner}.{uuid.uuid4().hex}.part"
-    with files.open_output_stream(part) as out:
+    try:  # the folder is there for all files but the first
+        stream = files.open_output_stream(part)
+    except FileNotFoundError:
+        files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        stream = files.open_output_stream(part)
+    with stream as out:
         for piece in pieces:
             out.write(piece)
     files.move(part, inner)
@@ -56,11 +63,14 @@ def _act(action: str, src: str | None, dst: str | None, content: bytes | None) -
             files.delete_file(inner)
         return
     if action == "move":
-        if not _exists(src) and _exists(dst):
-            return
         target, to = _open(dst)
-        target.create_dir(to.rsplit("/", 1)[0], recursive=True)
-        files.move(inner, to)
+        try:
+            files.move(inner, to)
+        except FileNotFoundError:  # done before, or the first file of its folder
+            if not _exists(src) and _exists(dst):
+                return
+            target.create_dir(to.rsplit("/", 1)[0], recursive=True)
+            files.move(inner, to)
         return
     if action == "copy":
         with files.open_input_stream(inner) as stream:

@@ -211,3 +211,32 @@ def test_export_numbers_go_on_behind_taken_names(spark):
 
     out = {r.src: r.dst.split("/")[-1] for r in sinks.export_buckets(df, bucket_summary(df), "/o").collect()}
     assert out == {"/1/a.png": "a.png", "/2/a.png": "a_3.png", "/3/a.png": "a_4.png", "/1/a_2.png": "a_2.png"}
+
+
+def test_actions_on_one_row_group_are_dealt_to_many_tasks_and_folders(spark, tmp_path, monkeypatch):
+    from tagloom.plans.file_queries import apply_manifest
+    from tagloom.plans.views import Views
+
+    rows = [(i, None if i == 7 else f"text {i}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    run, tasks, folders = sinks.apply_manifest, [], set()
+
+    def watched(manifest):
+        tasks.append(manifest.rdd.getNumPartitions())
+        folders.update(os.path.dirname(r.dst) for r in manifest.select("dst").collect())
+        return run(manifest)
+
+    monkeypatch.setattr(sinks, "apply_manifest", watched)
+    got = {r.action: (r.success_count, r.fail_count) for r in apply_manifest(Views(spark, str(tmp_path))).collect()}
+    assert min(tasks) >= 8 and len(folders) == 256
+    assert {k: sum(v) for k, v in got.items()} == {"write": 400, "move": 200, "copy": 400}
+    assert got["copy"][1] >= 200
+
+
+def test_a_move_makes_its_folder_once_needed(tmp_path):
+    (tmp_path / "a").write_text("A")
+    for _ in range(2):
+        sinks._act("move", f"{tmp_path}/a", f"{tmp_path}/x/y/b", None)
+    assert (tmp_path / "x/y/b").read_text() == "A"
+    with pytest.raises(FileNotFoundError):
+        sinks._act("move", f"{tmp_path}/a", f"{tmp_path}/z/c", None)
