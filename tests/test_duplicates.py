@@ -235,3 +235,10 @@ def test_near_pairs_of_two_blocks(d, p, rows):
         assert len(found) == len(set(found)) and set(found) == want
         first = [(i, j) for b in range(bands.count) for x in P.first_pairs(left, right, bands, b, d, p) for i, j in zip(x[0].tolist(), x[1].tolist(), strict=True)]
         assert set(first) <= want and {j for _, j in first} == {j for _, j in want}
+
+
+def test_fingerprints_enter_the_join_in_blocks(spark, monkeypatch):
+    """A row for each block, none for each way to move the bits of a band."""
+    monkeypatch.setattr(D, "LEAST_BLOCK", 20)
+    nodes, search = D._prepare(spark.createDataFrame(planted(12), SCHEMA), 10, 10, 0.85, False)
+    assert nodes.count() > 40 and search.packed(nodes, "id").count() == search.blocks == D.PARTS
