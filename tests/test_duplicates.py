@@ -242,3 +242,10 @@ def test_fingerprints_enter_the_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "LEAST_BLOCK", 20)
     nodes, search = D._prepare(spark.createDataFrame(planted(12), SCHEMA), 10, 10, 0.85, False)
     assert nodes.count() > 40 and search.packed(nodes, "id").count() == search.blocks == D.PARTS
+
+
+def test_equal_histograms_are_not_moved(spark):
+    rows = [(n, h, p, ([1.0] + [0.0] * 15) * 3) for n, h, p, _ in planted(13)]
+    nodes, search = D._prepare(spark.createDataFrame(rows, SCHEMA), 10, 10, 0.85, False)
+    near = search.near(nodes, nodes)
+    assert near.where("color is null").isEmpty() and {r.color for r in near.select("color").distinct().collect()} == {3.0}
